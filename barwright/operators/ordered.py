@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barwright.session import materialize
+
 RANGE = "__range"
 
 
@@ -43,11 +45,12 @@ def exact_quantiles(
             F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), marks.alias("marks")
         ).alias(c)
 
-    brackets = (
+    brackets = materialize(
         df.agg(*[bracket(c) for c in features])
         .unpivot([], features, "feature", "b")
         .select("feature", "b.*")
-        .where("n > 0")
+        .where("n > 0"),
+        "brackets",
     )
     long = df.select([F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "value")
     long = long.where("value is not null")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barwright.operators.indicators import add_indicators
 from barwright.operators.layout import Layout, with_row_index
 from barwright.schema import INDICATORS, MODEL_FEATURES
+from barwright.session import materialize
 
 # Columns a raw bar table must have.
 REQUIRED = ("ts", "open", "high", "low", "close", "volume")
@@ -81,8 +82,12 @@ def prepare(
 
 
 def time_split(prepared: DataFrame, test_size: float = 0.2, layout: Layout = Layout()) -> DataFrame:
-    """First rows of each series are ``train``, the last ceil(test_size * n) ``test``."""
-    indexed = with_row_index(prepared, layout, index="row_id", total="n_rows")
+    """First rows of each series are ``train``, the last ceil(test_size * n) ``test``.
+
+    Positions need the rows twice (to count, then to number), so the features
+    are written once instead of being computed for each pass.
+    """
+    indexed = with_row_index(materialize(prepared, "prepared"), layout, index="row_id", total="n_rows")
     n_test = F.ceil(F.lit(test_size) * F.col("n_rows"))
     is_test = F.col("row_id") >= F.col("n_rows") - n_test
     return indexed.withColumn("split", F.when(is_test, "test").otherwise("train"))
@@ -175,6 +180,7 @@ def stratified_folds(df: DataFrame, n_folds: int, label: str = "target", layout:
         slice_bars=1,
         slices_per_bucket=1,
     )
+    df = materialize(df, "folds")
     indexed = with_row_index(df, by_class, index="__pos", total="__n_class")
     n_neg = df.agg(F.count_if(F.col(label) == 0).alias("z")).scalar()
     offset = F.when(F.col(label) == 0, F.lit(0)).otherwise(n_neg)
