@@ -511,7 +511,7 @@ def dashboard_drift(
     ks = ks_drift(reference, current, features, p_limit, standardize=False, pair=pair)
     index = psi(reference, current, features, "reference", pair=pair).select("grp", "feature", "psi")
     return (
-        ks.where((F.col("n_ref") >= MIN_ROWS) & (F.col("n_cur") >= MIN_ROWS))
+        enough_rows(ks)
         .join(index, ["grp", "feature"])
         .select(
             "feature",
@@ -563,3 +563,23 @@ def moment_change(reference: DataFrame, current: DataFrame, features: list[str])
         F.avg(F.col("cur_mean") - F.col("ref_mean")).alias("mean_change"),
         F.avg(F.col("cur_std") - F.col("ref_std")).alias("std_change"),
     )
+
+
+def enough_rows(counts: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
+    """Pairs with enough values on both sides."""
+    return counts.where((F.col("n_ref") >= minimum) & (F.col("n_cur") >= minimum))
+
+
+def judge_presets(results: DataFrame, presets: dict[str, dict[str, float]] = PRESETS) -> DataFrame:
+    """One result table judged under every named set of thresholds."""
+    limits = F.create_map(
+        *[
+            x
+            for name, by_method in presets.items()
+            for x in (F.lit(name), F.create_map(*[y for m, v in by_method.items() for y in (F.lit(m), F.lit(v))]))
+        ]
+    )
+    rows = results.drop("threshold", "is_drift").select("*", F.explode(limits).alias("preset", "limits"))
+    limit = F.col("limits")[F.col("method")]
+    flag = F.when(F.col("method") == "psi", F.col("psi") > limit).otherwise(F.col("p_value") < limit)
+    return rows.withColumn("threshold", limit).withColumn("is_drift", F.coalesce(flag, F.lit(False))).drop("limits")
