@@ -35,6 +35,7 @@ from barwright.operators.indicators import (
 )
 from barwright.operators.layout import Layout, with_row_index
 from barwright.schema import INDICATORS, MODEL_FEATURES, feature_columns
+from barwright.session import materialize
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -368,7 +369,7 @@ FROM (UNPIVOT prep ON {', '.join(MODEL_FEATURES)} INTO NAME feature VALUE value)
 
 @query("a03_describe", _describe_sql)
 def _(spark, d):
-    return rounded(profile.describe(prepared_by_type(spark, d), MODEL_FEATURES))
+    return rounded(profile.describe(materialize(prepared_by_type(spark, d)), MODEL_FEATURES))
 
 
 _null_cols = ["series_id", "ts", *INDICATORS]
@@ -430,13 +431,13 @@ SELECT series_id, ts, split, {shown} FROM split_rows, s"""
 
 @query("a09_scale_on_train", _scaled_sql("WHERE split = 'train'"))
 def _(spark, d):
-    out = prep.scale_features(prep.time_split(prepared_by_type(spark, d)), fit_on="train")
+    out = prep.scale_features(materialize(prep.time_split(prepared_by_type(spark, d))), fit_on="train")
     return rounded(out.select(*KEYS, "split", *MODEL_FEATURES))
 
 
 @query("a09_scale_on_all", _scaled_sql())
 def _(spark, d):
-    out = prep.scale_features(prep.time_split(prepared_by_type(spark, d)), fit_on="all")
+    out = prep.scale_features(materialize(prep.time_split(prepared_by_type(spark, d))), fit_on="all")
     return rounded(out.select(*KEYS, "split", *MODEL_FEATURES))
 
 
@@ -465,7 +466,7 @@ FROM ed LEFT JOIN long l ON l.feature = ed.feature AND l.value >= ed.a AND (l.va
 GROUP BY ed.feature, ed.bin, ed.a, ed.b""",
 )
 def _(spark, d):
-    p = rounded(prepared_by_type(spark, d).select(*_hist))
+    p = materialize(rounded(prepared_by_type(spark, d).select(*_hist)))
     return rounded(histogram(p, _hist))
 
 

@@ -295,8 +295,8 @@ SELECT model, series_id, CASE WHEN pred = 1 THEN 'UP' ELSE 'DOWN' END AS directi
 @query("f09_next_period_signal", _next_sql)
 def _(spark, d):
     p = predictions(spark, d)
-    latest = p.groupBy("model", "series_id").agg(F.max_by(F.struct("score", "pred"), "ts").alias("l"))
-    out = scoring.next_period(latest.select("model", "series_id", "l.*"))
+    latest = p.groupBy("model", "series_id").agg(F.max_by("score", "ts").alias("score"), F.max_by("pred", "ts").alias("pred"))
+    out = scoring.next_period(latest)
     return rounded(out.select("model", "series_id", "direction", "confidence", "signal"))
 
 

@@ -33,7 +33,7 @@ from barwright.operators import metrics as met
 from barwright.operators import prepare as prep
 from barwright.operators.drift import detect_drift
 from barwright.operators.ranking import append_batches
-from barwright.session import scratch_path
+from barwright.session import materialize, scratch_path
 from barwright.sources import readers, sinks
 
 REGISTRY = Registry()
@@ -135,7 +135,7 @@ SELECT experiment || '-1' AS run_id, experiment, model, 'score > 0.5' AS rule, m
 )
 def _(spark, d):
     path = scratch_path(spark, "runs")
-    m = met.evaluate(predictions(spark, d))
+    m = materialize(met.evaluate(predictions(spark, d)), "metrics")
     for experiment in ("first", "second"):
         sinks.append_runs(sinks.run_rows(m, f"{experiment}-1", experiment, {"rule": "score > 0.5"}), path)
     runs = spark.read.parquet(path)

@@ -61,11 +61,15 @@ def usable_features(current: DataFrame, features: Iterable[str]) -> tuple[list[s
 
 def reference_stats(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, mean, std, min, max, median, q1, q3) without missing values."""
-    q = exact_quantiles(df, features, (0.5, 0.25, 0.75)).select(
-        "feature", F.col("q0").alias("median"), F.col("q1").alias("q1"), F.col("q2").alias("q3")
-    )
-    return moments(df, features).join(q, "feature", "left").select(
-        "feature", "mean", "std", "min", "max", "median", "q1", "q3"
+    return exact_quantiles(df, features, (0.5, 0.25, 0.75)).select(
+        "feature",
+        "mean",
+        "std",
+        "min",
+        "max",
+        F.col("q0").alias("median"),
+        F.col("q1").alias("q1"),
+        F.col("q2").alias("q3"),
     )
 
 
@@ -163,6 +167,8 @@ def ks_statistic(
     before = share(F.col("ref_below"), "ref_n") - share(F.col("upto") - F.col("n"), "cur_n")
     per_part = gaps.groupBy("feature", RANGE, "is_ref", "grp").agg(
         F.sum("n").alias("n"),
+        F.max("ref_n").alias("ref_n"),
+        F.max("cur_n").alias("cur_n"),
         F.max(F.greatest(before, after)).alias("top"),
         F.min(F.least(before, after)).alias("bottom"),
     )
@@ -176,7 +182,6 @@ def ks_statistic(
         per_part.withColumn("ref_before", F.coalesce(ref_before, F.lit(0)))
         .withColumn("cur_before", F.coalesce(cur_before, F.lit(0)))
         .where("not is_ref")
-        .join(sizes, (F.col("grp") == F.col("g")) & (F.col("feature") == F.col("f")))
     )
     start = share(F.col("ref_before"), "ref_n") - share(F.col("cur_before"), "cur_n")
     widest = F.greatest(F.abs(start + F.col("top")), F.abs(start + F.col("bottom")))
@@ -426,6 +431,10 @@ def detect_drift(
     """The chosen methods as one long table; features the current table lacks are skipped."""
     features = list(features) if features is not None else reference.columns
     features, _ = usable_features(current, features)
+    methods = list(methods)
+    unknown = set(methods) - set(DEFAULT_THRESHOLDS)
+    if unknown:
+        raise ValueError(f"unknown methods {sorted(unknown)}")
     limits = {**DEFAULT_THRESHOLDS, **(PRESETS[preset] if preset else {}), **(thresholds or {})}
     none = F.lit(None)
     number, text = none.cast("double"), none.cast("string")
@@ -439,11 +448,9 @@ def detect_drift(
         elif method == "psi":
             r = psi_drift(reference, current, features, limit, "combined", by, pair)
             parts = (number, number, F.col("psi"), F.col("interpretation"))
-        elif method == "ttest":
+        else:
             r = welch_drift(reference, current, features, limit, by, pair)
             parts = (F.col("statistic"), F.col("p_value"), number, text)
-        else:
-            raise ValueError(f"unknown method {method!r}")
         statistic, p_value, index, label = parts
         tables.append(
             r.select(

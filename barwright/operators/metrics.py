@@ -45,33 +45,51 @@ def scores_from_confusion(counts: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(predictions: DataFrame, by: list[str] = ["model"]) -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL if only one class occurs.
+def _ranked_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """Per model, in one pass: confusion counts and the pairs a random positive wins.
 
-    Sum over scores of pos * (negatives below + tied negatives / 2).  Scores are
-    counted first, then range-partitioned; each part gives its own sum and
-    totals, and the parts are chained.
+    Won pairs are the sum over scores of pos * (negatives below + tied
+    negatives / 2).  Scores are counted first, then range-partitioned; each part
+    gives its own sums, and the few parts are chained.
     """
-    by_score = predictions.where("score is not null").groupBy(*by, "score").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    y, p = F.col("y"), F.col("pred")
+    by_score = predictions.groupBy(*by, "score").agg(
+        F.count_if((y == 0) & (p == 0)).alias("tn"),
+        F.count_if((y == 0) & (p == 1)).alias("fp"),
+        F.count_if((y == 1) & (p == 0)).alias("fn"),
+        F.count_if((y == 1) & (p == 1)).alias("tp"),
+        F.count_if((y == 1) & F.col("score").isNotNull()).alias("pos"),
+        F.count_if((y == 0) & F.col("score").isNotNull()).alias("neg"),
     )
     parts = range_parts(by_score, by, "score")
     w = Window.partitionBy(*by, RANGE).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     below = F.sum("neg").over(w) - F.col("neg")
-    local = parts.withColumn("won", F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
-    per_part = local.groupBy(*by, RANGE).agg(
-        F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    counts = ["tn", "fp", "fn", "tp", "pos", "neg"]
+    per_part = (
+        parts.withColumn("won", F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
+        .groupBy(*by, RANGE)
+        .agg(F.sum("won").alias("won"), *[F.sum(c).alias(c) for c in counts])
     )
     prior = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     chained = per_part.withColumn("neg_before", F.coalesce(F.sum("neg").over(prior), F.lit(0)))
-    won = F.sum(F.col("won") + F.col("pos").cast("double") * F.col("neg_before"))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return chained.groupBy(*by).agg(F.try_divide(won, pairs).alias("roc_auc"))
+    won = F.col("won") + F.col("pos").cast("double") * F.col("neg_before")
+    return chained.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts], F.sum(won).alias("won"))
+
+
+def _auc() -> Column:
+    """Area under the ROC curve; NULL if only one class occurs."""
+    return F.try_divide(F.col("won"), F.col("pos").cast("double") * F.col("neg").cast("double"))
+
+
+def roc_auc(predictions: DataFrame, by: list[str] = ["model"]) -> DataFrame:
+    return _ranked_counts(predictions, by).select(*by, _auc().alias("roc_auc"))
 
 
 def evaluate(predictions: DataFrame, by: list[str] = ["model"]) -> DataFrame:
     """One row per model: counts, accuracy, precision, recall, F1, ROC-AUC."""
-    return scores_from_confusion(confusion(predictions, by)).join(roc_auc(predictions, by), by, "left")
+    counts = _ranked_counts(predictions, by).withColumn("roc_auc", _auc())
+    scores = scores_from_confusion(counts)
+    return scores.select(*by, "tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "roc_auc")
 
 
 def classification_report(predictions: DataFrame, by: list[str] = ["model"]) -> DataFrame:

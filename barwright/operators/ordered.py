@@ -28,11 +28,13 @@ def exact_quantiles(
     probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
     accuracy: int = 10000,
 ) -> DataFrame:
-    """(feature, q0, q1, ...): exact, linearly interpolated quantiles.
+    """(feature, n, mean, std, min, max, q0, q1, ...): moments and exact, linearly
+    interpolated quantiles.
 
-    A whole column is never sorted or buffered.  An approximate pass brackets
-    every wanted rank, a counting pass confirms the brackets (one that fails is
-    widened to the full range), and only the values inside are ranked.
+    A whole column is never sorted or buffered.  One pass takes the moments and
+    approximate marks that bracket every wanted rank, a counting pass confirms
+    the brackets (one that fails is widened to the full range), and only the
+    values inside are ranked.  ``df`` is read three times, so pass a stored table.
     """
     k = len(probabilities)
     margin = 4.0 / accuracy
@@ -40,18 +42,21 @@ def exact_quantiles(
     hi_p = [min(1.0, p + margin) for p in probabilities]
 
     def bracket(c: str) -> Column:
-        marks = F.percentile_approx(c, [*lo_p, *hi_p], accuracy)
+        x = F.col(c).cast("double")
         return F.struct(
-            F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), marks.alias("marks")
+            F.count(x).alias("n"),
+            F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"),
+            F.min(x).alias("lo"),
+            F.max(x).alias("hi"),
+            F.percentile_approx(x, [*lo_p, *hi_p], accuracy).alias("marks"),
         ).alias(c)
 
-    brackets = materialize(
-        df.agg(*[bracket(c) for c in features])
-        .unpivot([], features, "feature", "b")
-        .select("feature", "b.*")
-        .where("n > 0"),
+    every = materialize(
+        df.agg(*[bracket(c) for c in features]).unpivot([], features, "feature", "b").select("feature", "b.*"),
         "brackets",
     )
+    brackets = every.where("n > 0")
     long = df.select([F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "value")
     long = long.where("value is not null")
 
@@ -102,7 +107,9 @@ def exact_quantiles(
     upper = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value")))
     part = F.first("rank") - F.floor(F.first("rank"))
     picked = ranked.groupBy("feature", "q").agg((lower + (upper - lower) * part).alias("v"))
-    return picked.groupBy("feature").agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(k)])
+    wide = picked.groupBy("feature").agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(k)])
+    summary = every.select("feature", "n", "mean", "std", F.col("lo").alias("min"), F.col("hi").alias("max"))
+    return summary.join(wide, "feature", "left")
 
 
 def approximate_quantiles(
@@ -111,8 +118,17 @@ def approximate_quantiles(
     probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
     accuracy: int = 10000,
 ) -> DataFrame:
-    """The one-pass form: values of the column within 1/accuracy of each rank."""
-    wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probabilities), accuracy).alias(c) for c in features])
-    return wide.unpivot([], features, "feature", "v").select(
-        "feature", *[F.col("v")[i].alias(f"q{i}") for i in range(len(probabilities))]
-    )
+    """The same columns in one pass: quantiles are values within 1/accuracy of each rank."""
+    def one(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.struct(
+            F.count(x).alias("n"),
+            F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            F.percentile_approx(x, list(probabilities), accuracy).alias("q"),
+        ).alias(c)
+
+    wide = df.agg(*[one(c) for c in features]).unpivot([], features, "feature", "s").select("feature", "s.*")
+    return wide.select("*", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probabilities))]).drop("q")

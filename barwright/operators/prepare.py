@@ -107,18 +107,22 @@ def fit_scaler(df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame
     )
 
 
-def stats_lookup(stats: DataFrame) -> Column:
-    """The per-feature table folded into one map value: a scalar subquery.
+def stats_lookup(stats: DataFrame, features: list[str]) -> Column:
+    """The per-feature table as one struct value: a scalar subquery.
 
-    It has one entry for each feature, so its size does not depend on the rows.
+    It has one field for each feature, so its size does not depend on the rows.
     """
-    entries = F.collect_list(F.struct("feature", F.struct("mean", "std")))
-    return stats.agg(F.map_from_entries(entries).alias("m")).scalar()
+
+    def of(name: str, value: str) -> Column:
+        return F.max(F.when(F.col("feature") == name, F.col(value))).alias(value)
+
+    fields = [F.struct(of(c, "mean"), of(c, "std")).alias(c) for c in features]
+    return stats.agg(F.struct(*fields).alias("s")).scalar()
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
     """(x - mean) / std for every feature, with the stored statistics."""
-    held = df.withColumn("__stats", stats_lookup(stats))
+    held = df.withColumn("__stats", stats_lookup(stats, features))
 
     def scaled(name: str) -> Column:
         s = F.col("__stats")[name]

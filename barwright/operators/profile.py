@@ -43,11 +43,16 @@ def moments(df: DataFrame, features: list[str]) -> DataFrame:
 def describe(df: DataFrame, features: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of each feature."""
     quantiles = exact_quantiles if exact else approximate_quantiles
-    q = quantiles(df, features, (0.25, 0.5, 0.75), accuracy).select(
-        "feature", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
-    return moments(df, features).join(q, "feature", "left").select(
-        "feature", "n", "mean", "std", "min", "q1", "median", "q3", "max"
+    return quantiles(df, features, (0.25, 0.5, 0.75), accuracy).select(
+        "feature",
+        "n",
+        "mean",
+        "std",
+        "min",
+        F.col("q0").alias("q1"),
+        F.col("q1").alias("median"),
+        F.col("q2").alias("q3"),
+        "max",
     )
 
 
