@@ -64,9 +64,11 @@ def _(spark, d):
 @query("m03_grid_search")
 def _(spark, d):
     train, _, stats = _split(spark, d)
+    """Four settings over five stratified folds in time order."""
     forest = models.random_forest(20, 5)
     grid = ParamGridBuilder().addGrid(forest.maxDepth, [3, 5]).addGrid(forest.numTrees, [10, 20]).build()
-    result = models.grid_search(train, forest, grid, stats, folds=5)
+    folded = prep.stratified_folds(train, 5)
+    result = models.grid_search(folded, forest, grid, stats, folds=5, fold_column="fold")
     return rounded(models.search_table(spark, result))
 
 

@@ -24,6 +24,7 @@ BAND_PERIOD = 20
 LOOKBACK = 20
 DECLARED_LOOKBACK = 50
 
+# Features the served list names beside the indicators above.
 DECLARED = [
     "returns_1h",
     "returns_2h",

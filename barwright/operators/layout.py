@@ -11,6 +11,8 @@ small time *slices*: a table of one row per slice, far smaller than the bars.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +98,19 @@ def _halo_targets(df: DataFrame, layout: Layout, back: int, ahead: int) -> DataF
     )
 
 
+def _key_aliases(layout: Layout) -> list[str]:
+    return [f"__k{i}" for i in range(len(layout.keys))] + ["__at"]
+
+
+def _renamed(small: DataFrame, layout: Layout, part: str) -> tuple[DataFrame, Column]:
+    """The small per-part table under other key names, and a join condition that
+    also matches rows whose key is NULL (they form a series of their own)."""
+    names = [*layout.keys, part]
+    aliases = _key_aliases(layout)
+    on = reduce(and_, [F.col(n).eqNullSafe(F.col(a)) for n, a in zip(names, aliases)])
+    return small.withColumnsRenamed(dict(zip(names, aliases))), on
+
+
 def with_halo(df: DataFrame, layout: Layout, back: int, ahead: int = 0) -> DataFrame:
     """Rows assigned to their bucket and copied into the buckets that look at them.
 
@@ -106,16 +121,16 @@ def with_halo(df: DataFrame, layout: Layout, back: int, ahead: int = 0) -> DataF
     own = layout.bucket_of()
     if not back and not ahead:
         return df.withColumn(BUCKET, own).withColumn(CORE, F.lit(True))
-    keys = list(layout.keys)
     rows = df.withColumn(SLICE, layout.slice_of()).withColumn("__own", own)
-    joined = rows.join(_halo_targets(df, layout, back, ahead), [*keys, SLICE], "left")
+    targets, on = _renamed(_halo_targets(df, layout, back, ahead), layout, SLICE)
+    joined = rows.join(targets, on, "left")
     none = F.array().cast("array<bigint>")
     return (
         joined.withColumn(
             BUCKET, F.explode(F.concat(F.array("__own"), F.coalesce(F.col("__targets"), none)))
         )
         .withColumn(CORE, F.col(BUCKET) == F.col("__own"))
-        .drop(SLICE, "__own", "__targets")
+        .drop(SLICE, "__own", "__targets", *_key_aliases(layout))
     )
 
 
@@ -134,18 +149,17 @@ def with_row_index(df: DataFrame, layout: Layout, index: str = "row_id", total:
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(BUCKET).alias("__b"),
+        *keys,
+        BUCKET,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
         F.sum("__n").over(whole).alias("__total"),
     )
-    rows = df.withColumn(BUCKET, layout.bucket_of())
-    on = F.col(BUCKET) == F.col("__b")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    out = rows.join(starts, on).withColumn(
-        index, F.col("__start") + F.row_number().over(layout.window()) - 1
+    starts, on = _renamed(starts, layout, BUCKET)
+    out = (
+        df.withColumn(BUCKET, layout.bucket_of())
+        .join(starts, on)
+        .withColumn(index, F.col("__start") + F.row_number().over(layout.window()) - 1)
     )
     if total:
         out = out.withColumn(total, F.col("__total"))
-    return out.drop(BUCKET, "__b", "__start", "__total", *[f"__k{i}" for i in range(len(keys))])
+    return out.drop(BUCKET, "__start", "__total", *_key_aliases(layout))

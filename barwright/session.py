@@ -33,7 +33,7 @@ def build_session(app: str = "barwright", master: str | None = None, **conf: str
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only for local tests."""
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):

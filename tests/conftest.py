@@ -49,3 +49,12 @@ def make_bars(spark):
         return spark.createDataFrame(rows, BAR_SCHEMA)
 
     return make
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Keep every shuffle partition, so that small tables too are cut into several parts."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")

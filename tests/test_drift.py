@@ -47,7 +47,7 @@ def scaled(x):
     return (x - x.mean()) / x.std(ddof=1)
 
 
-def test_ks_raw_and_standardised(pair):
+def test_ks_raw_and_standardised(pair, many_partitions):
     ref, cur, r, c = pair
     for standardize in (False, True):
         got = drift.ks_statistic(r, c, ["a", "b"], standardize).toPandas().set_index("feature")["statistic"]
@@ -63,7 +63,7 @@ def test_constant_feature_has_no_standardised_distance(pair):
     assert got["statistic"] is None and got["is_drift"] is False
 
 
-def test_groups_equal_separate_runs(pair):
+def test_groups_equal_separate_runs(pair, many_partitions):
     ref, cur, r, c = pair
     got = drift.ks_statistic(r, c, ["a", "b"], False, by="g").toPandas().set_index(["grp", "feature"])["statistic"]
     index = drift.psi(r, c, ["a", "b"], by="g").toPandas().set_index(["grp", "feature"])["psi"]

@@ -158,3 +158,11 @@ def test_row_index(gappy):
     want = got.groupby("series_id").cumcount()
     assert (got["row_id"] == want).all()
     assert (got["n"] == got.groupby("series_id")["ts"].transform("size")).all()
+
+
+def test_null_series_keeps_its_halo(spark, gappy):
+    unnamed = gappy.where("series_id = 's1'").selectExpr("cast(null as string) series_id", *gappy.columns[1:])
+    small = Layout(slice_bars=2, slices_per_bucket=2)
+    whole, split = add_indicators(unnamed), add_indicators(unnamed, layout=small)
+    assert whole.exceptAll(split).count() == 0
+    assert with_row_index(unnamed, small).agg({"row_id": "max"}).collect()[0][0] == unnamed.count() - 1

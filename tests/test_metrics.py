@@ -12,6 +12,7 @@ from barwright.functions import rules
 from barwright.operators import metrics as met
 from barwright.operators import prepare as prep
 from barwright.operators import scoring
+from barwright.operators.ordered import RANGE, range_parts
 
 SCHEMA = "model string, y int, score double, pred int"
 
@@ -34,12 +35,14 @@ def test_auc_with_ties(spark, rows):
     assert got["accuracy"] == pytest.approx(np.mean([y == int(s > 5) for y, s in rows]))
 
 
-def test_many_parts_chain(spark):
+def test_many_parts_chain(spark, many_partitions):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 4000)
     s = np.round(rng.normal(y * 0.4, 1.0), 3)
     data = [(m, int(a), float(b if m == "m" else -b), int(b > 0)) for a, b in zip(y, s) for m in ("m", "n")]
-    got = {r["model"]: r["roc_auc"] for r in met.roc_auc(spark.createDataFrame(data, SCHEMA)).collect()}
+    df = spark.createDataFrame(data, SCHEMA)
+    assert range_parts(df, ["model"], "score").select(RANGE).distinct().count() > 4
+    got = {r["model"]: r["roc_auc"] for r in met.roc_auc(df).collect()}
     ranks = np.argsort(np.argsort(s, kind="stable"))
     assert got["m"] + got["n"] == pytest.approx(1.0)
     rough = (ranks[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))

@@ -55,11 +55,11 @@ def test_hourly_bars_break_ties_by_id(spark):
 
 def test_reader_renames_and_cleans(spark):
     path = scratch_path(spark, "raw-csv")
-    spark.createDataFrame([("2024-01-01 00:00:00", 1.0, 55.0, float("nan"))], "DATETIME string, OPEN double, RSI double, `VOLUME BTC` double").write.option("header", True).csv(path)
+    spark.createDataFrame([("2024-01-01 00:00:00", 1.0, 55.0, float("nan"))], "DATETIME string, OPEN double, RSI double, `VOLUME COIN` double").write.option("header", True).csv(path)
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("DATETIME", T.StringType()), T.StructField("OPEN", T.DoubleType()), T.StructField("RSI", T.DoubleType()), T.StructField("VOLUME BTC", T.DoubleType())])
-    df = readers.read_bars_csv(spark, path, schema, {"OPEN": "open", "VOLUME BTC": "volume"})
+    schema = T.StructType([T.StructField("DATETIME", T.StringType()), T.StructField("OPEN", T.DoubleType()), T.StructField("RSI", T.DoubleType()), T.StructField("VOLUME COIN", T.DoubleType())])
+    df = readers.read_bars_csv(spark, path, schema, {"OPEN": "open", "VOLUME COIN": "volume"})
     assert df.columns == ["DATETIME", "open", "src_rsi", "volume"]
     row = readers.parse_timestamp(df, "DATETIME").collect()[0]
     assert row["volume"] is None and row["ts"].year == 2024
