@@ -17,6 +17,7 @@ from barwright.functions.rules import soft_vote, weighted_blend
 from barwright.operators.metrics import evaluate, f1_weights
 from barwright.operators.prepare import with_class_weight
 from barwright.schema import MODEL_FEATURES
+from barwright.session import materialize
 
 SEED = 42
 
@@ -97,8 +98,9 @@ def grid_search(
     )
     if fold_column:
         cv = cv.setFoldCol(fold_column)
+    # Every fold and setting reads the assembled rows again, so they are stored once.
     keep = ["target", "features"] + [c for c in ("weight", fold_column) if c and c in assembled.columns]
-    return cv.fit(assembled.select(*keep))
+    return cv.fit(materialize(assembled.select(*keep), "assembled"))
 
 
 def search_table(spark: SparkSession, result: CrossValidatorModel) -> DataFrame:
