@@ -22,6 +22,11 @@ def nan_to_null(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def as_value(name: str) -> Column:
+    """A numeric column as double with NaN read as missing."""
+    return nan_to_null(F.col(name).cast("double"))
+
+
 def psi_label(psi: Column) -> Column:
     # Stability index limits.
     return (

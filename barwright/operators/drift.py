@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barwright.functions.pvalues import ks_p_value, welch_p_value
-from barwright.functions.rules import drift_action, drift_severity, psi_label
+from barwright.functions.rules import as_value, drift_action, drift_severity, psi_label
 from barwright.operators.ordered import RANGE, exact_quantiles, range_parts
 from barwright.operators.profile import moments
 from barwright.session import materialize
@@ -76,7 +76,7 @@ def reference_stats(df: DataFrame, features: list[str]) -> DataFrame:
 def _long(df: DataFrame, features: list[str], by: str | None, group: str = "grp") -> DataFrame:
     """(feature, grp, value) of the non-missing values."""
     ids = [F.col(by).cast("string").alias(group)] if by else [F.lit("current").alias(group)]
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in features])
+    wide = df.select(*ids, *[as_value(c).alias(c) for c in features])
     return wide.unpivot(group, features, "feature", "value").where("value is not null")
 
 
@@ -84,7 +84,7 @@ def _side_moments(df: DataFrame, features: list[str], by: str | None) -> DataFra
     """(grp, feature, n, mean, std, lo, hi): one wide aggregate, one row per group and feature."""
 
     def one(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = as_value(c)
         return F.struct(
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),

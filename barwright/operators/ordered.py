@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barwright.functions.rules import as_value
 from barwright.session import materialize
 
 RANGE = "__range"
@@ -42,7 +43,7 @@ def exact_quantiles(
     hi_p = [min(1.0, p + margin) for p in probabilities]
 
     def bracket(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = as_value(c)
         return F.struct(
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),
@@ -57,7 +58,7 @@ def exact_quantiles(
         "brackets",
     )
     brackets = every.where("n > 0")
-    long = df.select([F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "value")
+    long = df.select([as_value(c).alias(c) for c in features]).unpivot([], features, "feature", "value")
     long = long.where("value is not null")
 
     rank = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
@@ -120,7 +121,7 @@ def approximate_quantiles(
 ) -> DataFrame:
     """The same columns in one pass: quantiles are values within 1/accuracy of each rank."""
     def one(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = as_value(c)
         return F.struct(
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),

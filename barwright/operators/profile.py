@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.functions.rules import as_value
 from barwright.operators.ordered import approximate_quantiles, exact_quantiles
 
 
@@ -28,7 +29,7 @@ def moments(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, mean, std, min, max) from a single aggregate over the wide rows."""
 
     def one(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = as_value(c)
         return F.struct(
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),
@@ -70,7 +71,7 @@ def target_correlation(df: DataFrame, features: list[str], label: str = "target"
     y = F.col(label).cast("double")
 
     def one(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = as_value(c)
         both = x.isNotNull() & y.isNotNull()
         xs, ys = F.when(both, x), F.when(both, y)
         spread = F.stddev_samp(xs) * F.stddev_samp(ys)

@@ -21,12 +21,9 @@ def pair(spark):
     ref.loc[::7, "a"] = np.nan
     cur.loc[::5, "b"] = np.nan
 
-    def to_spark(pdf):
-        return spark.createDataFrame(pdf).select(
-            *[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c != "g" else F.col(c) for c in pdf.columns]
-        )
-
-    return ref, cur, to_spark(ref), to_spark(cur)
+    # Missing values stay NaN on one side and become NULL on the other.
+    cur_df = spark.createDataFrame(cur).withColumn("b", F.nanvl("b", F.lit(None).cast("double")))
+    return ref, cur, spark.createDataFrame(ref), cur_df
 
 
 def ks(x, y):
