@@ -63,25 +63,38 @@ def true_range(prev: Column) -> Column:
 
 
 def _rolled(w: WindowSpec, names: set[str]) -> dict[str, Column]:
-    """Each rolling aggregate once; several outputs share them.
+    """Each rolling aggregate and each frame count once; several outputs share them.
 
     Equal window expressions are not merged by the planner, so they are named
     here and the outputs are plain arithmetic over the names.
     """
     c, v, d = F.col("close"), F.col("volume"), F.col("__prev_delta")
-    uses = {
-        "__std5": (("volatility_5",), lambda: roll(F.stddev_samp, c, 5, w)),
-        "__std10": (("volatility_10",), lambda: roll(F.stddev_samp, c, 10, w)),
-        "__sma20": (("bb_upper", "bb_lower", "bb_position"), lambda: roll(F.avg, c, BAND_PERIOD, w)),
-        "__std20": (("bb_upper", "bb_lower", "bb_position"), lambda: roll(F.stddev_samp, c, BAND_PERIOD, w)),
-        "__gain": (("rsi",), lambda: roll(F.avg, F.when(d > 0, d).otherwise(0.0), RSI_PERIOD, w)),
-        "__loss": (("rsi",), lambda: roll(F.avg, F.when(d < 0, -d).otherwise(0.0), RSI_PERIOD, w)),
-        "__atr": (("atr",), lambda: roll(F.avg, true_range(F.col("__prev")), ATR_PERIOD, w)),
-        "__vsma": (("volume_sma", "volume_ratio"), lambda: roll(F.avg, v, BAND_PERIOD, w)),
-        "__close5": (("momentum_5",), lambda: F.lag("close", 5).over(w)),
-        "__close10": (("momentum_10",), lambda: F.lag("close", 10).over(w)),
+
+    def over(column: Column, n: int) -> Column:
+        return column.over(w.rowsBetween(-(n - 1), 0))
+
+    bands = {"bb_upper", "bb_lower", "bb_position"}
+    volume = {"volume_sma", "volume_ratio"}
+    tr = true_range(F.col("__prev"))
+    uses: dict[str, tuple[set[str], Column]] = {
+        "__n5": ({"volatility_5"}, over(F.count(c), 5)),
+        "__std5": ({"volatility_5"}, over(F.stddev_samp(c), 5)),
+        "__n10": ({"volatility_10"}, over(F.count(c), 10)),
+        "__std10": ({"volatility_10"}, over(F.stddev_samp(c), 10)),
+        "__n20": (bands, over(F.count(c), BAND_PERIOD)),
+        "__sma20": (bands, over(F.avg(c), BAND_PERIOD)),
+        "__std20": (bands, over(F.stddev_samp(c), BAND_PERIOD)),
+        "__rows14": ({"rsi"}, over(F.count(F.lit(1)), RSI_PERIOD)),
+        "__gain": ({"rsi"}, over(F.avg(F.when(d > 0, d).otherwise(0.0)), RSI_PERIOD)),
+        "__loss": ({"rsi"}, over(F.avg(F.when(d < 0, -d).otherwise(0.0)), RSI_PERIOD)),
+        "__ntr": ({"atr"}, over(F.count(tr), ATR_PERIOD)),
+        "__atr": ({"atr"}, over(F.avg(tr), ATR_PERIOD)),
+        "__nv20": (volume, over(F.count(v), BAND_PERIOD)),
+        "__vsma": (volume, over(F.avg(v), BAND_PERIOD)),
+        "__close5": ({"momentum_5"}, F.lag("close", 5).over(w)),
+        "__close10": ({"momentum_10"}, F.lag("close", 10).over(w)),
     }
-    return {k: make() for k, (outputs, make) in uses.items() if names & set(outputs)}
+    return {k: column for k, (outputs, column) in uses.items() if names & outputs}
 
 
 def relative_strength(gain: Column, loss: Column) -> Column:
@@ -100,20 +113,27 @@ def relative_strength(gain: Column, loss: Column) -> Column:
 def indicator_columns() -> dict[str, Column]:
     """The seventeen indicators as arithmetic over ``__prev`` and the rolled columns."""
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    prev, sma, std = F.col("__prev"), F.col("__sma20"), F.col("__std20")
+
+    def full(count: str, n: int, value: str) -> Column:
+        return F.when(F.col(count) == n, F.col(value))
+
+    prev = F.col("__prev")
+    sma, std = full("__n20", BAND_PERIOD, "__sma20"), full("__n20", BAND_PERIOD, "__std20")
+    volume_sma = full("__nv20", BAND_PERIOD, "__vsma")
+    gain, loss = full("__rows14", RSI_PERIOD, "__gain"), full("__rows14", RSI_PERIOD, "__loss")
     upper, lower = sma + std * 2, sma - std * 2
     return {
-        "volatility_5": F.col("__std5"),
-        "volatility_10": F.col("__std10"),
+        "volatility_5": full("__n5", 5, "__std5"),
+        "volatility_10": full("__n10", 10, "__std10"),
         "returns": ratio(c, prev) - 1,
         "log_returns": F.ln(ratio(c, prev)),
-        "rsi": relative_strength(F.col("__gain"), F.col("__loss")),
+        "rsi": relative_strength(gain, loss),
         "bb_upper": upper,
         "bb_lower": lower,
         "bb_position": ratio(c - lower, upper - lower),
-        "atr": F.col("__atr"),
-        "volume_sma": F.col("__vsma"),
-        "volume_ratio": ratio(v, F.col("__vsma") + 1e-8),
+        "atr": full("__ntr", ATR_PERIOD, "__atr"),
+        "volume_sma": volume_sma,
+        "volume_ratio": ratio(v, volume_sma + 1e-8),
         "momentum_5": c - F.col("__close5"),
         "momentum_10": c - F.col("__close10"),
         "high_low_ratio": ratio(h, lo),
