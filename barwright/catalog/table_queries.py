@@ -10,7 +10,6 @@ from barwright.catalog.inputs import (
     PSI_LABEL_SQL,
     RULES,
     Registry,
-    bars_by_type,
     bars_by_user,
     bars_sql,
     drift_pair,

@@ -37,10 +37,6 @@ PRESETS = {
     "loose": {"ks": 0.10, "psi": 0.25, "ttest": 0.10},
 }
 
-RESULT_COLUMNS = (
-    "method", "feature", "statistic", "p_value", "psi", "is_drift", "threshold", "interpretation"
-)
-
 
 def common_numeric_columns(reference: DataFrame, current: DataFrame) -> list[str]:
     """Columns of the reference that are double or long and exist in the current table."""
@@ -290,8 +286,7 @@ def _edges(pair: DataFrame, span: str) -> DataFrame:
     elif span == "reference":
         raw_lo, raw_hi = F.col("ref_lo"), F.col("ref_hi")
     else:
-        raw = {"reference", "combined"}
-        raise ValueError(f"span is one of {sorted(raw)}")
+        raise ValueError("span is 'combined' or 'reference'")
     lo, hi = bin_edges(raw_lo, raw_hi)
     return pair.select("grp", "feature", lo.alias("lo"), hi.alias("hi")).where("lo is not null")
 

@@ -17,7 +17,6 @@ BAR_SCHEMA = T.StructType(
 )
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "volume"]
-KEY_COLUMNS = ["series_id", "ts"]
 
 # The seventeen indicator outputs, in the order they are produced.
 INDICATORS = [
