@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.catalog.inputs import Registry
-from barwright.llm import common, simhash
+from barwright.llm import common, quality_rules, sharding, simhash, spotsigs
 
 REGISTRY = Registry()
 
@@ -20,3 +20,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, d: str) -> DataFrame:
     found = simhash.components(table(spark, d, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@REGISTRY.query("op6_spotsigs_fingerprints")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@REGISTRY.query("op7_rendezvous_sharding")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    placed = sharding.place(table(spark, d, "documents"), [1.0] * 16, [1.0] * 17).withColumnRenamed("id", "doc_id")
+    return placed.withColumn("law", F.lit("key"))
+
+
+@REGISTRY.query("op10_quality_rules")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, d, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged.select(F.col("id").alias("doc_id"), *names)
