@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.catalog.inputs import Registry
-from barwright.llm import common, quality_rules, sharding, simhash, spotsigs
+from barwright.llm import common, quality_model, quality_rules, sharding, simhash, spotsigs
 
 REGISTRY = Registry()
 
@@ -38,3 +38,12 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, d, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
     return judged.select(F.col("id").alias("doc_id"), *names)
+
+
+@REGISTRY.query("op5_quality_classifier")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = quality_model.held_out_fold()
+    model = quality_model.fit(docs, table(spark, d, "labels"), held_out=held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_model.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
