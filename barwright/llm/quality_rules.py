@@ -1,7 +1,7 @@
 """Quality rules as weak supervision: rules vote or abstain, and their accuracies are learned without labels.
 
 Everything per document is built-in functions. Votes of all documents are counted by pattern (at most 3 to
-the number of rules, 6,561 rows); expectation-maximisation over that bounded table gives the share of good
+the number of rules, 59,049 rows); expectation-maximisation over that bounded table gives the share of good
 texts and each rule's accuracy on good and on bad texts, and the posterior replaces all-must-pass filtering.
 
 A null or empty text has no words: it fails the base rules. Repeated rows vote as often as they occur.
@@ -21,7 +21,7 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_caps, n_bangs, n_lines, n_dup_lines, n_distinct_words, n_repeat_words (longs).
+    """Adds n_words, word_chars, n_symbols, n_symbol_runs, n_letters, n_caps, n_bangs, n_lines, n_dup_lines, n_distinct_words, n_repeat_words (longs).
 
     n_repeat_words finds three-word windows that occur twice without leaving the row: each window becomes
     one long, its hash with the lowest bits replaced by its position; sorted, equal windows are neighbours.
@@ -58,6 +58,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_words": n.cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": kept_chars("#*$%&|<>"),
+            "n_symbol_runs": (F.size(F.split(text, "[#*$%&|<>]+", -1)) - 1).cast("long"),
+            "n_letters": kept_chars(r"\p{L}"),
             "n_caps": kept_chars("A-Z"),
             "n_bangs": kept_chars("!"),
             "n_lines": F.size("_lines").cast("long"),
@@ -84,6 +86,8 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols > 0.04 * word_chars", "n_symbols < 0.01 * word_chars"),
+    Rule("symbol_runs", "n_symbol_runs > 0.15 * n_words", "n_symbol_runs < 0.05 * n_words"),
+    Rule("letters", "n_letters < 0.85 * word_chars", "n_letters > 0.92 * word_chars"),
     Rule("capitals", "n_caps > 0.3 * word_chars", "n_caps < 0.08 * word_chars"),
     Rule("bangs", "n_bangs > 0.2 * n_words", "n_bangs < 0.02 * n_words"),
     Rule("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words < 0.1 * n_words"),
@@ -101,10 +105,11 @@ def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 200) -> tuple[float, list[float], list[float]]:
     """(share of good texts, accuracy per rule on good texts, on bad texts) from counted vote patterns.
 
-    Starts from rules that are right four times in five. Each accuracy carries the weight of ten such
-    votes and stays above one half, so that no rule turns into its opposite on few texts.
+    Starts from what rules of this kind are: they seldom reject a good text, and each knows one kind of bad
+    text, so on bad texts most votes are wrong. An accuracy has the weight of ten such votes from the start.
     """
-    share, good, bad = 0.8, [0.8] * rules, [0.8] * rules
+    first = (0.9, 0.999, 0.2)
+    share, good, bad = first[0], [first[1]] * rules, [first[2]] * rules
     for _ in range(rounds):
         total = kept = 0.0
         right_good, all_good, right_bad, all_bad = ([0.0] * rules for _ in range(4))
@@ -118,11 +123,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: in
                     all_bad[r] += count * (1 - p)
                     right_good[r] += count * p * (v > 0)
                     right_bad[r] += count * (1 - p) * (v < 0)
-        level = lambda right, n: min(0.995, max(0.55, (right + 8) / (n + 10)))
+        level = lambda right, n, prior: min(0.9999, max(0.01, (right + 10 * prior) / (n + 10)))
         new = (
-            min(0.995, max(0.005, (kept + 8) / (total + 10))),
-            [level(a, b) for a, b in zip(right_good, all_good)],
-            [level(a, b) for a, b in zip(right_bad, all_bad)],
+            min(0.995, max(0.005, (kept + 10 * first[0]) / (total + 10))),
+            [level(a, b, first[1]) for a, b in zip(right_good, all_good)],
+            [level(a, b, first[2]) for a, b in zip(right_bad, all_bad)],
         )
         moved = max(abs(new[0] - share), *(abs(a - b) for a, b in zip(new[1] + new[2], good + bad)))
         share, good, bad = new
