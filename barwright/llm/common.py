@@ -62,3 +62,9 @@ def running_total(df: DataFrame, group: str, key: str, ties: list[str], value: s
     joined = cut.join(sums, [group, "_bucket"])
     total = F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
     return joined.withColumn(out, total).drop("_bucket", "_before")
+
+
+def n_words(text: Column) -> Column:
+    """Number of words in a text, 0 for null."""
+    core = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(core == "", F.lit(0)).otherwise(F.size(F.split(core, r"[\x20\x09-\x0D]+", -1))).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.catalog.inputs import Registry
-from barwright.llm import common, quality_model, quality_rules, sharding, simhash, spotsigs
+from barwright.llm import common, mixing, quality_model, quality_rules, sharding, simhash, spotsigs, warc
 
 REGISTRY = Registry()
 
@@ -47,3 +47,15 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     model = quality_model.fit(docs, table(spark, d, "labels"), held_out=held_out)
     scored = docs.select("doc_id", held_out.alias("held_out"), quality_model.score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@REGISTRY.query("op8_source_mixing")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+@REGISTRY.query("op9_warc_archives")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    records = warc.read_archive(warc.write_archive(table(spark, d, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
