@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.catalog.inputs import Registry
-from barwright.llm import common, mixing, quality_model, quality_rules, sharding, simhash, spotsigs, warc
+from barwright.llm import common, lm_score, mixing, quality_model, quality_rules, segment, sharding, simhash, spotsigs, warc
 
 REGISTRY = Registry()
 
@@ -59,3 +59,15 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 def op9(spark: SparkSession, d: str) -> DataFrame:
     records = warc.read_archive(warc.write_archive(table(spark, d, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@REGISTRY.query("op2_sentencepiece_n_best")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    coded = segment.encode_documents(table(spark, d, "documents"), with_ids=False)
+    best = [F.get("scores", i).alias(f"score_{i + 1}") for i in range(3)]
+    return coded.select(F.col("id").alias("doc_id"), "n_pieces", *best, "ids_sha256", "round_trip")
+
+
+@REGISTRY.query("op4_lattice_lm_scores")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
