@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.catalog.inputs import Registry
-from barwright.llm import common, lm_score, mixing, quality_model, quality_rules, segment, sharding, simhash, spotsigs, warc
+from barwright.llm import common, lm_score, mixing, quality_model, quality_rules, secret_scan, segment, sharding, simhash, spotsigs, warc
 
 REGISTRY = Registry()
 
@@ -71,3 +71,18 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.query("op4_lattice_lm_scores")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return lm_score.score_documents(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@REGISTRY.query("op3_secret_scan")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, d, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+        F.size("added").cast("long").alias("n_format"),
+    )
