@@ -125,31 +125,30 @@ def isotonic(scores: list[float], ones: list[float], counts: list[float]) -> tup
     return np.array(xs), np.array(ys)
 
 
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(id, x, more ...): the statistics of every text, written once; what is joined later are numbers, not texts."""
+    return materialize(docs.select(F.col(id_col).alias("id"), statistics_column(F.col(text_col)).alias("x"), *more), "statistics")
+
+
 def fit(
-    docs: DataFrame,
+    described: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
-    text_col: str = "text",
     label_col: str = "quality",
-    held_out: Column | None = None,
     features: int = 256,
     width: float = 3.0,
     ridge: float = 1.0,
     max_rows: int = 2_000_000,
     seed: int = 7,
 ) -> Model | None:
-    """Learns from labelled rows outside ``held_out``; None if there are none.
+    """Learns from all ``described`` rows with a label; None if there are none.
 
     ``max_rows`` bounds the labelled rows used (those of least id hash), and with them the tasks whose sums
     are added. A fifth of the rows, by id hash, calibrates and takes no part in the ridge fit.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg((F.min(label_col) > 0).cast("double").alias("y"))
-    out = F.lit(False) if held_out is None else held_out
-    rows = docs.where(~out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    # The statistics are computed before a limit by hash, which then moves numbers only.
-    stats = rows.select("y", F.xxhash64("id").alias("h"), statistics_column(F.col("text")).alias("x"))
-    stats = materialize(stats, "statistics")
+    stats = materialize(described.join(known, "id").select("y", F.xxhash64("id").alias("h"), "x"), "labelled")
     n = stats.count()
     if not n:
         return None
@@ -205,17 +204,17 @@ def fit(
     return model
 
 
-def score_column(model: Model | None, text: Column) -> Column:
-    """Probability of a good text; without a model every text gets one half."""
+def score_column(model: Model | None, x: Column) -> Column:
+    """Probability of a good text from its statistics; without a model every text gets one half."""
     if model is None:
         return F.lit(0.5)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.score(np.array([statistics(t) for t in batch]).reshape(-1, N_STATISTICS)), dtype=float)
+            yield pd.Series(model.score(_matrix(batch)), dtype=float)
 
-    return run(text)
+    return run(x)
 
 
 def held_out_fold(id_col: str = "doc_id", folds: int = 5) -> Column:

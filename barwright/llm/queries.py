@@ -42,10 +42,9 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query("op5_quality_classifier")
 def op5(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    held_out = quality_model.held_out_fold()
-    model = quality_model.fit(docs, table(spark, d, "labels"), held_out=held_out)
-    scored = docs.select("doc_id", held_out.alias("held_out"), quality_model.score_column(model, F.col("text")).alias("score"))
+    described = quality_model.describe(table(spark, d, "documents"), "doc_id", "text", quality_model.held_out_fold().alias("held_out"))
+    model = quality_model.fit(described.where("NOT held_out"), table(spark, d, "labels"))
+    scored = described.select(F.col("id").alias("doc_id"), "held_out", quality_model.score_column(model, F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

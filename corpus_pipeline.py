@@ -18,8 +18,9 @@ from barwright.session import materialize
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose probability of good quality is 0.3 or more; without labels it keeps all."""
     ship_package(spark)
-    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(quality_model.score_column(model, F.col("text")) >= 0.3)
+    model = quality_model.fit(quality_model.describe(docs), table(spark, sf_dir, "labels"))
+    x = quality_model.statistics_column(F.col("text"))
+    return docs.where(quality_model.score_column(model, x) >= 0.3)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
