@@ -39,13 +39,10 @@ PRESETS = {
 
 
 def common_numeric_columns(reference: DataFrame, current: DataFrame) -> list[str]:
-    """Columns of the reference that are double or long and exist in the current table."""
-    there = set(current.columns)
-    return [
-        f.name
-        for f in reference.schema.fields
-        if isinstance(f.dataType, (T.DoubleType, T.LongType)) and f.name in there
-    ]
+    """Columns that are double or long in both tables."""
+    numeric = (T.DoubleType, T.LongType)
+    there = {f.name for f in current.schema.fields if isinstance(f.dataType, numeric)}
+    return [f.name for f in reference.schema.fields if isinstance(f.dataType, numeric) and f.name in there]
 
 
 def usable_features(current: DataFrame, features: Iterable[str]) -> tuple[list[str], list[str]]:
@@ -423,9 +420,13 @@ def detect_drift(
     preset: str | None = None,
     by: str | None = None,
 ) -> DataFrame:
-    """The chosen methods as one long table; features the current table lacks are skipped."""
-    features = list(features) if features is not None else reference.columns
-    features, _ = usable_features(current, features)
+    """The chosen methods as one long table.
+
+    Features default to the numeric columns of both tables. A named feature that the current table lacks is
+    not compared; it is a row of method ``skipped`` without values, which votes for nothing.
+    """
+    features = list(features) if features is not None else common_numeric_columns(reference, current)
+    features, skipped = usable_features(current, features)
     methods = list(methods)
     unknown = set(methods) - set(DEFAULT_THRESHOLDS)
     if unknown:
@@ -460,24 +461,31 @@ def detect_drift(
                 label.alias("interpretation"),
             )
         )
-    return reduce(DataFrame.unionByName, tables)
+    found = reduce(DataFrame.unionByName, tables)
+    if skipped:
+        spark = reference.sparkSession
+        rows = [("skipped", name, False, "missing in the current table") for name in skipped]
+        found = found.unionByName(spark.createDataFrame(rows, "method string, feature string, is_drift boolean, interpretation string"), allowMissingColumns=True)
+    return found
 
 
-def drift_votes(results: DataFrame) -> DataFrame:
-    """How many methods flag each feature; only flagged ones are kept."""
+def drift_votes(results: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """How many methods flag each feature (of each group); only flagged ones are kept."""
     return (
-        results.groupBy("feature")
+        results.groupBy(*by, "feature")
         .agg(F.count_if("is_drift").alias("n_votes"))
         .where("n_votes > 0")
     )
 
 
-def drift_summary(results: DataFrame) -> DataFrame:
-    """One row: drifted features, those flagged by more than one method, flag and action."""
+def drift_summary(results: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """One row (per group): drifted features, those flagged by more than one method, flag and action."""
     flagged = F.col("n_votes") > 0
+    by = list(by)
     return (
-        results.groupBy("feature")
+        results.groupBy(*by, "feature")
         .agg(F.count_if("is_drift").alias("n_votes"))
+        .groupBy(*by)
         .agg(
             F.count_if(flagged).alias("total_drifted_features"),
             F.array_sort(F.collect_list(F.when(flagged, F.col("feature")))).alias("drifted_features"),
@@ -490,10 +498,10 @@ def drift_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def drift_report(results: DataFrame) -> DataFrame:
-    """Per method: how many features were looked at, and the details of the drifted ones."""
+def drift_report(results: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """Per method (and group): how many features were looked at, and the details of the drifted ones."""
     detail = F.struct("feature", "statistic", "p_value", "psi", "threshold", "interpretation")
-    return results.groupBy("method").agg(
+    return results.groupBy(*by, "method").agg(
         F.count(F.lit(1)).alias("n_features"),
         F.count_if("is_drift").alias("n_drifted"),
         F.array_sort(F.collect_list(F.when(F.col("is_drift"), detail))).alias("drifted"),
@@ -530,16 +538,18 @@ def dashboard_summary(dashboard: DataFrame) -> DataFrame:
     ).withColumn("severity", drift_severity(F.col("n_drifted")))
 
 
-def monitoring_record(results: DataFrame, method: str = "psi") -> DataFrame:
-    """One record for a monitoring log, with the retrain flag."""
+def monitoring_record(results: DataFrame, method: str = "psi", by: Iterable[str] = ()) -> DataFrame:
+    """One record (per group) for a monitoring log, with the retrain flag."""
+    by = list(by)
     mine = results.where(F.col("method") == method)
     return (
-        mine.agg(
+        mine.groupBy(*by).agg(
             F.array_sort(F.collect_list(F.when(F.col("is_drift"), F.col("feature")))).alias("drifted_features"),
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "psi")))).alias("psi_scores"),
         )
         .withColumn("n_drifted", F.size("drifted_features").cast("bigint"))
         .select(
+            *by,
             F.current_timestamp().alias("timestamp"),
             F.lit(method).alias("detection_method"),
             "drifted_features",

@@ -22,6 +22,10 @@ BAND_PERIOD = 20
 
 # Rows a feature looks back at: its frame, plus one row where it starts from a difference.
 LOOKBACK = 20
+SHORT_LOOKBACK = {
+    "high_low_ratio": 0, "close_open_ratio": 0, "body_size": 0, "returns": 1, "log_returns": 1, "gap": 1,
+    "volatility_5": 5, "momentum_5": 5, "volatility_10": 10, "momentum_10": 10, "rsi": 15, "atr": 15,
+}
 DECLARED_LOOKBACK = 50
 
 # Features the served list names beside the indicators above.
@@ -154,10 +158,17 @@ def add_indicators(
     layout: Layout = Layout(),
     label: bool = False,
 ) -> DataFrame:
-    """Bars plus the named indicators and, if asked for, the ``target`` label."""
+    """Bars plus the named indicators and, if asked for, the ``target`` label.
+
+    The halo is as long as the named indicators need; those of a single bar are a projection.
+    """
     names = list(names)
     w = layout.window()
-    rows = with_halo(bars, layout, back=LOOKBACK, ahead=1 if label else 0)
+    back = max([0, *(SHORT_LOOKBACK.get(n, LOOKBACK) for n in names)])
+    if not back and not label:
+        every = indicator_columns()
+        return bars.select(*bars.columns, *[every[n].alias(n) for n in names])
+    rows = with_halo(bars, layout, back=back, ahead=1 if label else 0)
     rows = rows.withColumn("__prev", F.lag("close").over(w))
     rolled = _rolled(w, set(names))
     if label:
@@ -258,31 +269,78 @@ EMA_SPANS = (5, 10, 20, 12, 26)
 SIGNAL_SPAN = 9
 
 
+EMA_STATES = [*[f"ema_{n}" for n in EMA_SPANS], "macd_signal"]
+
+
+def _ema_path(close, start: dict[str, float] | None):
+    """All averages along one stretch of closes, from given states or from its first close."""
+    import pandas as pd
+
+    def average(values, span: int, name: str):
+        if start is not None:
+            values = pd.concat([pd.Series([start[name]]), values])
+        found = values.ewm(span=span, adjust=False, ignore_na=True).mean()
+        return (found if start is None else found.iloc[1:]).to_numpy()
+
+    close = pd.Series(close.to_numpy(dtype=float))
+    out = pd.DataFrame({f"ema_{n}": average(close, n, f"ema_{n}") for n in EMA_SPANS})
+    out["macd"] = out["ema_12"] - out["ema_26"]
+    out["macd_signal"] = average(out["macd"], SIGNAL_SPAN, "macd_signal")
+    return out
+
+
 def add_ema(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Exponential averages (seeded with the first close), MACD and its signal.
 
-    The recursion has no end, but after k rows a start value weighs
-    (1 - 2/(span+1))^k: a halo of 24 spans leaves less than 1e-20, below what a
-    double can hold.  So each bucket is one bounded group, never a whole series.
+    The recursion is linear, so what a bucket does to the states is known without them: its end states from
+    zero, and the share of each start state that is left. These few numbers per bucket are chained, and each
+    bucket then runs from its true start. No row is copied, and a run of missing closes may have any length.
     """
-    back = 24 * max(EMA_SPANS)
-    rows = with_halo(bars.select(*layout.keys, *layout.order(), "close"), layout, back=back)
-    order, spans, signal_span = layout.order(), EMA_SPANS, SIGNAL_SPAN
-
-    def recurse(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        close = pdf["close"]
-        for span in spans:
-            pdf[f"ema_{span}"] = close.ewm(span=span, adjust=False, ignore_na=True).mean()
-        pdf["macd"] = pdf["ema_12"] - pdf["ema_26"]
-        pdf["macd_signal"] = pdf["macd"].ewm(span=signal_span, adjust=False, ignore_na=True).mean()
-        return pdf[pdf["__core"]]
-
-    names = [*[f"ema_{s}" for s in spans], "macd", "macd_signal"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema = fields + "".join(f", {n} double" for n in names)
-    return (
-        rows.groupBy(*layout.keys, "__bucket")
-        .applyInPandas(recurse, schema=schema)
-        .drop("__bucket", "__core")
-    )
+    import pandas as pd
+
+    keys, order = list(layout.keys), layout.order()
+    rows = bars.select(*keys, *order, "close").withColumn("__bucket", layout.bucket_of())
+    at = [*keys, "__bucket"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    heads = ", ".join(f"`{c}` {types[c]}" for c in at)
+    zero = dict.fromkeys(EMA_STATES, 0.0)
+
+    def effect(pdf):
+        close = pdf.sort_values(order, kind="stable")["close"].astype(float)
+        silent = close * 0.0
+
+        def end(closes, start):
+            return _ema_path(closes, start).iloc[-1]
+
+        first, base = end(close, None), end(close, zero)
+        left = end(silent, {**dict.fromkeys(EMA_STATES, 1.0), "macd_signal": 0.0})
+        row = {c: pdf[c].iloc[0] for c in at}
+        row |= {f"first_{n}": first[n] for n in EMA_STATES} | {f"base_{n}": base[n] for n in EMA_STATES}
+        row |= {f"left_{n}": left[n] for n in EMA_STATES[:-1]}
+        row |= {f"signal_{n}": end(silent, {**zero, n: 1.0})["macd_signal"] for n in ("ema_12", "ema_26", "macd_signal")}
+        return pd.DataFrame([row])
+
+    def chain(pdf):
+        pdf = pdf.sort_values("__bucket")
+        state, out = None, []
+        for _, r in pdf.iterrows():
+            out.append([r[c] for c in at] + ([None] * len(EMA_STATES) if state is None else [state[n] for n in EMA_STATES]))
+            if state is None:
+                state = {n: r[f"first_{n}"] for n in EMA_STATES} if r["first_ema_5"] == r["first_ema_5"] else None
+            else:
+                signal = r["base_macd_signal"] + sum(r[f"signal_{n}"] * state[n] for n in ("ema_12", "ema_26", "macd_signal"))
+                state = {n: r[f"base_{n}"] + r[f"left_{n}"] * state[n] for n in EMA_STATES[:-1]} | {"macd_signal": signal}
+        return pd.DataFrame(out, columns=[*at, *EMA_STATES])
+
+    def run(pdf, starts):
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        start = starts.iloc[0][EMA_STATES].astype(float).to_dict() if len(starts) else None
+        known = start is not None and start["ema_5"] == start["ema_5"]
+        return pd.concat([pdf, _ema_path(pdf["close"], start if known else None)], axis=1)
+
+    numbers = [*[f"{p}_{n}" for p in ("first", "base") for n in EMA_STATES], *[f"left_{n}" for n in EMA_STATES[:-1]], *[f"signal_{n}" for n in ("ema_12", "ema_26", "macd_signal")]]
+    effects = rows.groupBy(*at).applyInPandas(effect, heads + "".join(f", {n} double" for n in numbers))
+    starts = effects.groupBy(*keys).applyInPandas(chain, heads + "".join(f", {n} double" for n in EMA_STATES))
+    names = [*[f"ema_{n}" for n in EMA_SPANS], "macd", "macd_signal"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + "".join(f", {n} double" for n in names)
+    return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInPandas(run, schema).drop("__bucket")

@@ -164,10 +164,14 @@ def with_class_weight(df: DataFrame, label: str = "target", out: str = "weight")
 
 
 def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """A repeatable sample: a row is in or out by the hash of its own key."""
+    """A repeatable sample: a row is in or out by the hash of its own key.
+
+    The place in [0, 10000) has a whole part and 32 more bits, so shares below one in ten thousand work too.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10000
-    return df.where(bucket < F.lit(int(round(fraction * 10000))))
+    bits = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    place = (bits(1) % 10000).cast("double") + bits(9).cast("double") / float(2**32)
+    return df.where(place < F.lit(round(fraction * 10000, 9)))
 
 
 def stratified_folds(df: DataFrame, n_folds: int, label: str = "target", layout: Layout = Layout(), out: str = "fold") -> DataFrame:

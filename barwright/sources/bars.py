@@ -13,9 +13,10 @@ def arrival_order(ts: Column, tie: Column) -> Column:
 
     A struct key would push ``min_by``/``max_by`` into a sort-based aggregate;
     a 128-bit decimal keeps the hash aggregate and its map-side combine.
+    A missing tie breaker sorts before all others.
     """
     shift = F.expr("10000000000000000000BD")
-    return (epoch_micros(ts).cast("decimal(17,0)") * shift + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (epoch_micros(ts).cast("decimal(17,0)") * shift + F.coalesce(tie.cast("decimal(19,0)"), F.lit(-(2**63)).cast("decimal(19,0)"))).cast("decimal(38,0)")
 
 
 def hourly_bars(

@@ -40,10 +40,53 @@ def clean_doubles(df: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(df: DataFrame, column: str, fmt: str | None = None, out: str = "ts") -> DataFrame:
-    """String to ``timestamp_ntz``; text that is no timestamp becomes NULL."""
+    """String to ``timestamp_ntz``, the same in every session zone; text that is no timestamp becomes NULL.
+
+    Text with an offset or zone gives the instant's UTC wall time; other text gives what it says.
+    """
     text = F.col(column)
-    parsed = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
-    return df.withColumn(out, parsed.cast("timestamp_ntz"))
+    if fmt:
+        name = f"`{column.replace('`', '``')}`"
+        said = F.expr(f"try_to_timestamp(concat({name}, ' +0000'), {_quoted(fmt + ' Z')})")
+        return df.withColumn(out, F.convert_timezone(F.current_timezone(), F.lit("UTC"), said.cast("timestamp_ntz")))
+    zoned = F.regexp_like(text, F.lit(r"(?i)\d{1,2}:\d{2}.*([+-]\d{1,2}(:?\d{2})?|z|utc|gmt|[a-z]+/[a-z_]+)\s*$"))
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+    return df.withColumn(out, F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz")))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, rename: dict[str, str] | None = None, corrupt: str | None = None) -> DataFrame:
+    """CSV columns matched to ``schema`` by the header's names, in any order.
+
+    ``rename`` maps raw to schema names. Columns beyond the schema are kept, as doubles where they hold
+    numbers only, else as text. A schema column that the header lacks is an error. ``corrupt`` names a
+    column for the text of malformed lines, which are NULL otherwise.
+    """
+    rename = rename or {}
+    head = spark.read.option("header", True).csv(path).columns
+    declared = {f.name: f.dataType for f in schema.fields}
+    names = {raw: rename.get(raw, raw) for raw in head}
+    missing = [n for n in declared if n not in names.values()]
+    if missing:
+        raise ValueError(f"the header lacks {missing}; it has {head}")
+    fields = [T.StructField(raw, declared.get(names[raw], T.StringType())) for raw in head]
+    extra = [raw for raw in head if names[raw] not in declared]
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if corrupt:
+        fields.append(T.StructField(corrupt, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    df = reader.schema(T.StructType(fields)).csv(path)
+    numeric = set()
+    if extra:
+        odd = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(f"x{i}") for i, c in enumerate(extra)]).first()
+        numeric = {c for i, c in enumerate(extra) if not odd[i]}
+    plain = [F.col(f"`{c}`").try_cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in extra]
+    told = {v: k for k, v in names.items()}
+    ordered = [F.col(f"`{told[n]}`").alias(n) for n in declared]
+    return df.select(*ordered, *plain, *([F.col(corrupt)] if corrupt else []))
 
 
 def read_bars_csv(
@@ -51,10 +94,10 @@ def read_bars_csv(
     path: str,
     schema: T.StructType = BAR_SCHEMA,
     rename: dict[str, str] | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """Bars from CSV with a header and a declared schema (no inference pass)."""
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    return clean_doubles(normalise_names(raw, rename))
+    """Bars from CSV by the names of its header; further raw columns are kept."""
+    return clean_doubles(normalise_names(read_csv_by_name(spark, path, schema, rename, corrupt)))
 
 
 def read_bars_parquet(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
@@ -67,7 +110,7 @@ def read_csv_pair(
     """Two CSV tables with one schema: the reference and the current side of a drift check."""
 
     def one(path: str) -> DataFrame:
-        return clean_doubles(spark.read.schema(schema).option("header", True).csv(path))
+        return clean_doubles(read_csv_by_name(spark, path, schema))
 
     return one(reference), one(current)
 

@@ -161,4 +161,21 @@ def test_unknown_method_and_missing_feature(pair):
     with pytest.raises(ValueError):
         drift.detect_drift(r, c, ["a"], methods=["nope"])
     got = drift.detect_drift(r, c.drop("b"), ["a", "b"], methods=["psi"]).collect()
-    assert [row["feature"] for row in got] == ["a"]
+    assert [row["feature"] for row in got if row["method"] != "skipped"] == ["a"]
+
+
+def test_summaries_keep_groups_apart(spark):
+    rows = [("w1", "ks", "f", True), ("w2", "ks", "f", True), ("w2", "psi", "f", True), ("w3", "ks", "f", False)]
+    results = spark.createDataFrame(rows, "grp string, method string, feature string, is_drift boolean")
+    got = {r["grp"]: r for r in drift.drift_summary(results, ["grp"]).collect()}
+    assert got["w1"]["feature_drift_consensus"] == {} and got["w2"]["feature_drift_consensus"] == {"f": 2}
+    assert not got["w3"]["overall_drift_detected"]
+    assert {(r["grp"], r["n_votes"]) for r in drift.drift_votes(results, ["grp"]).collect()} == {("w1", 1), ("w2", 2)}
+
+
+def test_default_features_and_skipped_ones(spark):
+    a = spark.createDataFrame([(float(i), str(i), float(i)) for i in range(50)], "x double, t string, gone double")
+    b = spark.createDataFrame([(float(i) + 100, str(i), "text") for i in range(50)], "x double, t string, gone string")
+    assert {r["feature"] for r in drift.detect_drift(a, b).collect()} == {"x"}
+    found = drift.detect_drift(a, b.drop("gone"), ["x", "gone"], methods=["psi"]).collect()
+    assert {(r["method"], r["feature"], r["is_drift"]) for r in found} == {("psi", "x", True), ("skipped", "gone", False)}

@@ -166,3 +166,25 @@ def test_null_series_keeps_its_halo(spark, gappy):
     whole, split = add_indicators(unnamed), add_indicators(unnamed, layout=small)
     assert whole.exceptAll(split).count() == 0
     assert with_row_index(unnamed, small).agg({"row_id": "max"}).collect()[0][0] == unnamed.count() - 1
+
+
+def test_ema_over_missing_closes_longer_than_a_bucket(make_bars):
+    closes = [500.0 + i for i in range(40)] + [None] * 60 + [100.0 + i % 7 for i in range(50)]
+    bars = make_bars([None] * 5 + closes, high=[1.0] * 155, low=[1.0] * 155, open=[1.0] * 155)
+    whole = ordered(add_ema(bars))
+    split = ordered(add_ema(bars, Layout(slice_bars=4, slices_per_bucket=2)))
+    assert whole["macd_signal"].notna().sum() == 150
+    for name in ("ema_5", "ema_26", "macd", "macd_signal"):
+        np.testing.assert_allclose(split[name], whole[name], rtol=1e-12, atol=1e-9)
+
+
+def test_features_of_one_bar_need_no_join(gappy):
+    plan = add_indicators(gappy, ["high_low_ratio", "close_open_ratio", "body_size"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_short_halos_equal_long_ones(gappy):
+    small = Layout(slice_bars=2, slices_per_bucket=2)
+    for name in INDICATORS:
+        one, every = ordered(add_indicators(gappy, [name], small)), ordered(add_indicators(gappy))
+        pd.testing.assert_series_equal(one[name], every[name], check_exact=True)

@@ -182,3 +182,9 @@ def test_sample_is_repeatable(spark):
     a = {r["k"] for r in prep.sample_rows(df, "k", 0.3).collect()}
     b = {r["k"] for r in prep.sample_rows(df.repartition(5), "k", 0.3).collect()}
     assert a == b and 0.25 < len(a) / 5000 < 0.35
+
+
+def test_versions_in_numeric_order(spark):
+    rows = [(v, float(i)) for i, v in enumerate(("v8", "v9", "v10"))]
+    got = met.compare_versions(spark.createDataFrame(rows, "version string, f1 double"), ["f1"]).collect()
+    assert {r["version"]: r["previous"] for r in got} == {"v8": None, "v9": 0.0, "v10": 1.0}

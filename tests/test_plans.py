@@ -159,3 +159,10 @@ def test_prepared_rows_are_complete(bars):
     p = prepare(bars)
     assert p.count() == 2 * (260 - 19)
     assert p.select([F.count_if(F.col(c).isNull()).alias(c) for c in INDICATORS]).collect()[0].asDict() == dict.fromkeys(INDICATORS, 0)
+
+
+def test_tiny_sample_fractions(spark):
+    from barwright.operators.prepare import sample_rows
+
+    n = sample_rows(spark.range(500_000), "id", 0.00004).count()
+    assert 5 <= n <= 45
