@@ -28,7 +28,7 @@ def small(spark, make_docs, tmp_path_factory):
     rows += [(400 + i, " ".join(prose(700 + i, 90)) + f' token = "{i:040x}" end', "b") for i in range(8)]
     rows += [(None, None, None), (500, None, "a"), (501, "", "b"), (0, rows[0][1], "a")]
     make_docs(rows).select(*COLUMNS).write.parquet(f"{folder}/documents.parquet")
-    labels = [(i, int(not 100 <= i < 200)) for i, *_ in rows if i is not None and i < 400 and i % 7]
+    labels = [(i, int(not 100 <= i < 200)) for i, *_ in rows if i is not None and i < 450 and (i % 7 or i >= 400)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
 
