@@ -27,7 +27,23 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-@REGISTRY.query("op7_rendezvous_sharding")
+_CRC32 = """WITH step AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)),
+        lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8))) AS text_crc32
+  FROM documents, step)"""
+
+
+@REGISTRY.query(
+    "op7_rendezvous_sharding",
+    f"""{_CRC32},
+draws AS (SELECT doc_id, s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || s), 1, 13))::BIGINT AS u FROM (SELECT DISTINCT doc_id FROM documents), range(17) AS r(s)),
+won AS (SELECT doc_id, arg_max(s, u) FILTER (WHERE s < 16) AS shard, arg_max(s, u) AS grown_shard FROM draws GROUP BY doc_id)
+SELECT z.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(z.doc_id::VARCHAR, '')), 1, 15), z.doc_id, size, text_crc32) - 1 AS slot
+FROM sized z JOIN won w ON z.doc_id IS NOT DISTINCT FROM w.doc_id""",
+)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     placed = sharding.place(table(spark, d, "documents"), [1.0] * 16, [1.0] * 17).withColumnRenamed("id", "doc_id")
     return placed.withColumn("law", F.lit("key"))
@@ -54,7 +70,17 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
-@REGISTRY.query("op9_warc_archives")
+@REGISTRY.query(
+    "op9_warc_archives",
+    """WITH payload AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+last AS (SELECT hex, max(page_id) AS keep FROM payload GROUP BY hex)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS intact
+FROM payload JOIN last USING (hex)""",
+)
 def op9(spark: SparkSession, d: str) -> DataFrame:
     records = warc.read_archive(warc.write_archive(table(spark, d, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
