@@ -179,9 +179,8 @@ _spans = {5: "e5", 10: "e10", 20: "e20", 12: "e12", 26: "e26"}
 _step = {s: f"x.{n} + 2.0::DOUBLE / {s + 1} * (b.close - x.{n})" for s, n in _spans.items()}
 
 
-@query(
-    "w23_exponential_averages",
-    f"""WITH RECURSIVE {bars_sql()},
+def _ema_sql(series: str) -> str:
+    return f"""WITH RECURSIVE {bars_sql(series)},
 b AS (SELECT series_id, ts, close, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n FROM bars),
 x AS (
   SELECT series_id, ts, n, close AS e5, close AS e10, close AS e20, close AS e12, close AS e26, 0.0::DOUBLE AS sig
@@ -191,11 +190,28 @@ x AS (
          x.sig + 0.2::DOUBLE * (({_step[12]}) - ({_step[26]}) - x.sig)
   FROM x JOIN b ON b.series_id = x.series_id AND b.n = x.n + 1)
 SELECT series_id, ts, {', '.join(r(n, f'ema_{s}') for s, n in _spans.items())}, {r('e12 - e26', 'macd')}, {r('sig', 'macd_signal')}
-FROM x""",
-)
+FROM x"""
+
+
+_ema_names = [*KEYS, *[f"ema_{s}" for s in _spans], "macd", "macd_signal"]
+
+
+@query("w23_exponential_averages", _ema_sql("event_type"))
+def _(spark, d):
+    return rounded(add_ema(bars_by_type(spark, d)).select(*_ema_names))
+
+
+@query("w23_exponential_averages_by_user", _ema_sql("user_id"))
+def _(spark, d):
+    """Over a table that grows with the events."""
+    return rounded(add_ema(bars_by_user(spark, d)).select(*_ema_names))
+
+
+@query("w23_exponential_averages_split_buckets", _ema_sql("event_type"))
 def _(spark, d):
-    names = [f"ema_{s}" for s in _spans] + ["macd", "macd_signal"]
-    return rounded(add_ema(bars_by_type(spark, d)).select(*KEYS, *names))
+    """In buckets of two days, whose states are chained."""
+    small = Layout(slice_bars=8, slices_per_bucket=6)
+    return rounded(add_ema(bars_by_type(spark, d), small).select(*_ema_names))
 
 
 @query(
