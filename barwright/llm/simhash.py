@@ -16,6 +16,7 @@ Nulls and texts without words have fingerprint zero; a null id takes part and ne
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from decimal import Decimal
 from itertools import combinations
@@ -135,6 +136,21 @@ def _variants(digests: bytes, tables: int, bits: int, uncertain: int, half: int)
     return (base[:, None] ^ masks).ravel().astype(np.int64)
 
 
+def _prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set (sorted, distinct) in an order of all texts: ``common`` ones last, by their place there.
+
+    Texts of the given similarity share ceil(similarity * size) shingles or more, so the first one that they
+    share is among these of both.
+    """
+    n = len(shingles)
+    length = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(common):
+        return shingles[:length]
+    at = np.minimum(np.searchsorted(common["key"], shingles), len(common) - 1)
+    place = np.where(common["key"][at] == shingles, common["place"][at], 0)
+    return shingles[np.lexsort((shingles, place))[:length]]
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -151,11 +167,13 @@ def near_duplicates(
     component_id is the least id of the group. Rows that share an id are taken as one document. Texts without
     words are equal to each other and to nothing else; null ids are grouped by equal words alone.
 
-    Six tables of 32 bits find 95 % of pairs at similarity 0.80 to 0.85 and over 99 % above (measured on
-    the test tables); every found pair is verified by exact Jaccard similarity of its shingle sets. Inside
-    a bucket each text is compared with the one that collides most often, the hub, so work grows with the
-    number of texts and not with the square of a group. Chance collisions grow with texts / 2**bits: widen
-    ``bits`` and add ``tables`` beyond some ten million texts.
+    The result is exact: any two texts at the similarity are linked. The ball (``tables``, ``bits``,
+    ``uncertain``, ``half``) only finds most links early, cheaply and without the square of a group: inside
+    a bucket each text is compared with the one that collides most often, the hub. Then texts meet on each of
+    their first shingles in an order with common ones last (a sample tells which; any order gives the same
+    pairs). Buckets inside one group are done; in the others all are compared with a hub while that still
+    unites groups and many pairs are open, and finally every pair of different groups whose sizes and
+    places of the shared shingle allow the similarity. Every link is verified by exact Jaccard similarity.
     """
 
     @F.pandas_udf("struct<content: string, words: boolean>")
@@ -192,12 +210,62 @@ def near_duplicates(
     hubs = materialize(hubs.join(hub_ids, "rank").select("key", "hub"), "hubs_by_key")
     pairs = materialize(ranked.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "pairs")
 
-    asked = pairs.select("id").union(pairs.select("hub")).distinct()
-    sets = materialize(reps.join(asked, "id", "left_semi").select("id", shingles("text").alias("s")), "shingles")
-    both = pairs.join(sets, "id").withColumnRenamed("s", "x").join(sets.withColumnsRenamed({"id": "hub", "s": "y"}), "hub")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b): those of ``pairs`` (id, hub) that are alike."""
+        asked = pairs.select("id").union(pairs.select("hub")).distinct()
+        sets = materialize(reps.join(asked, "id", "left_semi").select("id", shingles("text").alias("s")), "shingles")
+        both = pairs.join(sets, "id").withColumnRenamed("s", "x").join(sets.withColumnsRenamed({"id": "hub", "s": "y"}), "hub")
+        common = F.size(F.array_intersect("x", "y"))
+        alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
+        return materialize(alike.select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
 
-    roots = connected_components(alike).withColumnsRenamed({"node": "first", "component": "root"})
-    known = materialize(first.join(roots, "first", "left").select("content", F.coalesce("root", "first").alias("component_id")), "known")
+    def united(links: DataFrame) -> DataFrame:
+        return materialize(connected_components(links).withColumnsRenamed({"node": "id", "component": "group"}), "groups")
+
+    groups = united(verified(pairs))
+
+    sample = reps.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(16)) == 0).select(F.explode(shingles("text")).alias("key"))
+    often = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(200_000).collect()
+    places = sorted((r.key, len(often) - i) for i, r in enumerate(often))  # the most common one comes last
+    late = docs.sparkSession.sparkContext.broadcast(np.array(places, dtype=[("key", "<i8"), ("place", "<i8")]))
+
+    @F.pandas_udf("struct<size: int, keys: array<long>>")
+    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(np.frombuffer(shingle_digests(t, shingle), ">i8").astype(np.int64)) for t in batch]
+            yield pd.DataFrame({"size": [len(x) for x in sets], "keys": [_prefix(x, late.value, similarity) for x in sets]})
+
+    firsts = reps.select("id", prefix("text").alias("p")).select("id", "p.size", F.posexplode("p.keys").alias("at", "key"))
+    firsts = materialize(firsts, "prefixes")
+    shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = materialize(firsts.join(shared, "key"), "met_prefixes")
+
+    n, m = F.col("size"), F.col("hub_size")
+    least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-6
+    possible = (F.least(n - F.col("at"), m - F.col("hub_at")) >= least) & (F.col("group") != F.col("hub_group"))
+    turn, last, gained = 0, False, True
+    while not last:
+        # Buckets whose texts are all of one group are done for good: groups only grow.
+        met = materialize(met.drop("group").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+        apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high")
+        apart = materialize(apart.select("key", "n"), "apart")
+        met = materialize(met.join(apart.select("key"), "key"), "met_apart")
+        rows, many = apart.agg(F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
+        if not rows:
+            break
+        hubs = met
+        last = many <= 4 * rows or not gained
+        if not last:
+            turn += 1
+            order = F.xxhash64(F.lit(turn), "id")
+            chosen = materialize(met.groupBy("key").agg(F.min(order).alias("order")), "chosen")
+            hubs = met.withColumn("order", order).join(chosen, ["key", "order"])
+        hubs = hubs.select("key", F.col("id").alias("hub"), n.alias("hub_size"), F.col("at").alias("hub_at"), F.col("group").alias("hub_group"))
+        found = met.join(hubs, "key").where(possible & (F.col("id") < F.col("hub")) if last else possible)
+        links = verified(materialize(found.select("id", "hub").distinct(), "pairs"))
+        gained = bool(links.take(1))
+        if gained:
+            groups = united(links.union(groups.select(F.col("id").alias("a"), F.col("group").alias("b"))))
+
+    known = materialize(first.join(groups.withColumnsRenamed({"id": "first", "group": "root"}), "first", "left").select("content", F.coalesce("root", "first").alias("component_id")), "known")
     return ids.join(known, "content").select("id", "component_id")
