@@ -49,8 +49,6 @@ def load(path: str = DEFAULT_MODEL) -> Vocabulary:
             spelled[i] = bytes([int(piece[3:-1], 16)])
             ranks[i] = n
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            if MARK in piece.lstrip(MARK):
-                continue  # a piece across two words would break the cut between them
             pieces[piece] = i
             spelled[i] = piece.replace(MARK, " ").encode()
             ranks[i] = min(max(-model.get_score(i), 0), n)

@@ -79,6 +79,24 @@ def test_best_against_whole_lattice(vocabulary):
         assert [round(s, 6) for s, _ in whole] == [round(s, 6) for s in segment.Encoder(vocabulary, 3).encode(text)[2]]
 
 
+@pytest.mark.parametrize("text", ["f(x);\r\n}\r\n", "a line.\r\n\r\nThe next, \r\"x\"\r\n", "5 m².\r", "\r\r\r\r\r", "/**\r\n * x;\r\n */\r\n});\r\n"])
+def test_pieces_across_units(vocabulary, text):
+    """Pieces such as ';\\r' join punctuation with line ends."""
+    whole = segment.n_best(" " + text, vocabulary, 3)
+    packed, best, scores = segment.Encoder(vocabulary, 3).encode(text)
+    assert [round(s, 6) for s, _ in whole] == [round(s, 6) for s in scores] and round(best, 6) == round(whole[0][0], 6)
+    assert segment.decode(memoryview(packed).cast("i"), vocabulary) == text
+
+
+def test_units_follow_the_vocabulary(tiny):
+    """A piece may join words or letters and signs in any vocabulary."""
+    entries = {**tiny.entries, "b▁": None, "b▁a": (265, -0.5), "b.": (266, -0.7)}
+    own = pieces.Vocabulary(entries, tiny.byte_ids, [*tiny.spelled, b"b a", b"b."], [*tiny.scores, -0.5, -0.7])
+    for text in ("ab ab. ab", "ab. b", "b a b.a"):
+        want = all_cuts(" " + text, own)[:4]
+        assert [round(s, 9) for s in segment.Encoder(own, 4).encode(text)[2]] == [round(s, 9) for s, _ in want]
+
+
 def test_documents(odd_docs, no_docs):
     rows = segment.encode_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count()
