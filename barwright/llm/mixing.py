@@ -7,8 +7,8 @@ one more, so the flow repeats as little as the quotas allow and evenly over patt
 out of the origin only; so taking them in rising order, each filled by augmenting paths, is the successive
 shortest path method and its flow is of least cost. Then seeded documents fill each arc.
 
-Patterns beyond the ``max_patterns`` largest count as their document's own source alone: quotas hold exactly
-as before, only the cost of repeating those texts across sources is not seen.
+All patterns enter the flow. The driver holds a row of three numbers for each (pattern, source) that occurs: far
+fewer than texts, but their number grows with the data where many sources overlap in many ways.
 
 A null source is a source of its own; a null or empty text has no words and is never taken. Equal rows are
 interchangeable.
@@ -48,66 +48,110 @@ def least_cost_flow(distinct: dict, capacity: dict, quota: dict) -> dict:
 
     distinct: words of different texts per pattern; capacity: most words per arc; quota: words per source.
     """
-    flow = defaultdict(int)
-    sources_of, patterns_of = defaultdict(list), defaultdict(list)
-    for p, s in sorted(capacity):
-        sources_of[p].append(s)
-        patterns_of[s].append(p)
-    need = dict(quota)
-    room = {p: sum(capacity[p, s] for s in sources_of[p]) for p in distinct}
+    graph = _Residual(capacity, quota)
+    room = {p: sum(capacity[p, s] for s in graph.sources_of[p]) for p in distinct}
     width = dict(distinct)
+    open_patterns = [p for p in sorted(distinct) if room[p]]
     level = 1
-    while any(room.values()) and any(need.values()):
-        for p in sorted(distinct):
+    while open_patterns and any(graph.need.values()):
+        for p in open_patterns:
             supply = min(room[p], width[p])
             room[p] -= supply
             while supply:
-                step = _augment(p, supply, flow, capacity, sources_of, patterns_of, need)
+                step = graph.augment(p, supply)
                 if not step:
                     room[p] = 0  # once cut off from every open quota, a pattern stays so
                     break
                 supply -= step
             if level > 1:
                 width[p] *= 2
+        open_patterns = [p for p in open_patterns if room[p]]
         level += 1
-    return dict(flow)
-
-
-def _augment(start, supply, flow, capacity, sources_of, patterns_of, need) -> int:
-    """Pushes words from one pattern along a shortest residual path to a source that needs some."""
-    came: dict = {("p", start): None}
-    queue = [("p", start)]
-    for kind, node in queue:
-        if kind == "p":
-            steps = [("s", s) for s in sources_of[node] if flow[node, s] < capacity[node, s]]
-        elif need[node]:
-            path, at = [], (kind, node)
-            while at:
-                path.append(at)
-                at = came[at]
-            path.reverse()
-            arcs = [((a[1], b[1]), 1) if a[0] == "p" else ((b[1], a[1]), -1) for a, b in zip(path, path[1:])]
-            step = min([supply, need[node], *(capacity[k] - flow[k] if way > 0 else flow[k] for k, way in arcs)])
-            for k, way in arcs:
-                flow[k] += way * step
-            need[node] -= step
-            return step
+    return {k: f for k, f in graph.flow.items() if f}
+
+
+class _Residual:
+    """The flow and its residual graph, searched over sources only, so that a search does not grow with the patterns.
+
+    ``through[a, b]`` holds patterns that can take words back from source a and give them to b. It may hold some
+    that no longer can; they are dropped when met, and come back when their flow changes.
+    """
+
+    def __init__(self, capacity: dict, quota: dict) -> None:
+        self.capacity, self.need = capacity, dict(quota)
+        self.flow: dict = defaultdict(int)
+        self.sources_of: dict = defaultdict(list)
+        for p, s in sorted(capacity):
+            self.sources_of[p].append(s)
+        self.through: dict = defaultdict(list)
+        self.after: dict = defaultdict(set)
+
+    def _change(self, p, s, step: int) -> None:
+        before = self.flow[p, s]
+        now = self.flow[p, s] = before + step
+        if not before and now:
+            steps = [(s, b) for b in self.sources_of[p] if b != s and self.flow[p, b] < self.capacity[p, b]]
+        elif before == self.capacity[p, s] and now < before:
+            steps = [(a, s) for a in self.sources_of[p] if a != s and self.flow[p, a]]
         else:
-            steps = [("p", p) for p in patterns_of[node] if flow[p, node] > 0]
-        for nxt in steps:
-            if nxt not in came:
-                came[nxt] = (kind, node)
-                queue.append(nxt)
-    return 0
+            return
+        for a, b in steps:
+            self.through[a, b].append(p)
+            self.after[a].add(b)
+
+    def _way(self, a, b):
+        """A pattern that can move words from source a to b, or None."""
+        patterns = self.through[a, b]
+        while patterns:
+            p = patterns[-1]
+            if self.flow[p, a] and self.flow[p, b] < self.capacity[p, b]:
+                return p
+            patterns.pop()
+        return None
+
+    def augment(self, start, supply: int) -> int:
+        """Pushes words from one pattern along a shortest residual path to a source that needs some."""
+        queue = [s for s in self.sources_of[start] if self.flow[start, s] < self.capacity[start, s]]
+        came: dict = {s: None for s in queue}
+        goal = next((s for s in queue if self.need[s]), None)
+        for a in queue:
+            if goal is not None:
+                break
+            for b in sorted(self.after[a]):
+                if b in came:
+                    continue
+                p = self._way(a, b)
+                if p is None:
+                    self.after[a].discard(b)
+                    continue
+                came[b] = (a, p)
+                queue.append(b)
+                if self.need[b]:
+                    goal = b
+                    break
+        if goal is None:
+            return 0
+        arcs, at = [], goal
+        while came[at]:
+            a, p = came[at]
+            arcs += [(p, at, 1), (p, a, -1)]
+            at = a
+        arcs.append((start, at, 1))
+        step = min([supply, self.need[goal], *(self.capacity[p, s] - self.flow[p, s] if way > 0 else self.flow[p, s] for p, s, way in arcs)])
+        for p, s, way in arcs:
+            self._change(p, s, way * step)
+        self.need[goal] -= step
+        return step
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, whole: bool = False, seed: int = 1, max_patterns: int = 500
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, whole: bool = False, seed: int = 1, max_patterns: int | None = None
 ) -> DataFrame:
     """All columns of ``docs`` and _size, _source_size, _target, _taken (words, repeats counted).
 
     Sources in code point order, null last, have the ``weights`` in turn. The last document of an arc is
     taken in part to meet the quota; with ``whole`` it is taken fully or not at all, whichever is nearer.
+    Only if ``max_patterns`` is given are texts of patterns beyond that many largest left out of the overlap.
     """
     content = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     wide = docs.withColumns({"_size": n_words(F.col(text_col)), "_content": content})
@@ -122,21 +166,21 @@ def mix(
     coded = rows.join(table, rows["source"].eqNullSafe(table["source"])).select("_content", "_size", "_s")
     texts = coded.groupBy("_content").agg(F.max("_size").alias("_size"), F.sort_array(F.collect_set("_s")).alias("p"), F.min("_s").alias("a"), F.max("_s").alias("b"))
     texts = materialize(texts.select("_content", "_size", F.array_join(F.col("p").cast("array<string>"), ",").alias("_pattern"), (F.col("a") < F.col("b")).alias("shared")), "texts")
-    largest = texts.where("shared").groupBy("_pattern").agg(F.sum("_size").alias("n")).orderBy(F.desc("n"), "_pattern").limit(max_patterns)
-    kept = [r[0] for r in largest.collect()]
-    known = spark.createDataFrame([(p,) for p in kept], "_pattern string")
-    shared = materialize(texts.where("shared").join(known, "_pattern").select("_content", "_pattern"), "shared_texts")
+    overlap = texts.where("shared")
+    if max_patterns is not None:
+        overlap = overlap.join(overlap.groupBy("_pattern").agg(F.sum("_size").alias("n")).orderBy(F.desc("n"), "_pattern").limit(max_patterns).select("_pattern"), "_pattern")
+    shared = materialize(overlap.select("_content", "_pattern"), "shared_texts")
 
     own = F.coalesce("_pattern", F.col("_s").cast("string"))
     cells = coded.join(shared, "_content", "left").groupBy(own.alias("_pattern"), "_s").agg(F.sum("_size").alias("n")).collect()
     cells = {(r[0], r[1]): r[2] for r in cells if r[2]}
-    single = texts.join(shared.select("_content"), "_content", "left_anti").select("_size", F.explode(F.split("_pattern", ",")).alias("_pattern")).groupBy("_pattern").agg(F.sum("_size").alias("n"))
-    together = texts.join(shared.select("_content"), "_content", "left_semi").groupBy("_pattern").agg(F.sum("_size").alias("n"))
-    distinct = {r[0]: r[1] for r in single.union(together).collect()}
+    single = texts.join(shared.select("_content"), "_content", "left_anti").select("_size", F.explode(F.split("_pattern", ",")).alias("_pattern"))
+    together = texts.join(shared.select("_content"), "_content", "left_semi").select("_size", "_pattern")
+    distinct = {r[0]: r[1] for r in single.union(together).groupBy("_pattern").agg(F.sum("_size").alias("n")).collect()}
     distinct = {p: distinct[p] for p in {p for p, _ in cells}}
     flow = least_cost_flow(distinct, {k: 3 * n for k, n in cells.items()}, {code[s]: int(goal[s]) for s in names})
 
-    plan = [(f"{p}|{s}", flow.get((p, s), 0) // n, flow.get((p, s), 0) % n) for (p, s), n in sorted(cells.items())]
+    plan = [(f"{p}|{s}", f // cells[p, s], f % cells[p, s]) for (p, s), f in sorted(flow.items())]
     plan = spark.createDataFrame(plan, "_cell string, _times long, _rest long")
     out = wide.join(table.withColumnRenamed("source", "_name"), F.col(source_col).eqNullSafe(F.col("_name"))).drop("_name")
     out = out.join(shared, "_content", "left").withColumn("_cell", F.concat_ws("|", own, F.col("_s").cast("string")))

@@ -52,6 +52,43 @@ def test_flow_is_of_least_cost():
         assert cost(flow, distinct) == best
 
 
+def test_all_patterns_enter_the_flow(make_docs):
+    """Over 500 membership patterns: the mix costs as little as the flow over all of them."""
+    pick = random.Random(8)
+    patterns = sorted({tuple(sorted(pick.sample(range(16), pick.randint(2, 4)))) for _ in range(900)})
+    assert len(patterns) > 600
+    rows, cells, distinct = [], {}, {}
+    for i, p in enumerate(patterns):
+        text = " ".join([f"w{i}"] * pick.randint(1, 9))
+        distinct[p] = len(text.split())
+        for s in p:
+            rows.append((len(rows), text, "abcdefghijklmnop"[s]))
+            cells[p, s] = distinct[p]
+    sizes = {s: sum(n for (_, t), n in cells.items() if t == s) for s in range(16)}
+    goal = mixing.targets(sizes, {s: mixing.WEIGHTS[s % 3] for s in range(16)})
+    quota = {s: int(goal[s]) for s in sizes}
+    best = mixing.least_cost_flow(distinct, {k: 3 * n for k, n in cells.items()}, quota)
+    taken = defaultdict(int)
+    at = {f"w{i}": p for i, p in enumerate(patterns)}
+    for r in mixing.mix(make_docs(rows)).collect():
+        taken[at[r.text.split()[0]], "abcdefghijklmnop".index(r.source)] += r._taken
+    assert {s: sum(n for (_, t), n in taken.items() if t == s) for s in quota} == quota
+    assert cost(taken, distinct) == cost(best, distinct)
+
+
+def test_flow_copes_with_many_patterns():
+    """20,000 patterns of 20 sources: quotas met, no arc above its capacity, in seconds."""
+    pick = random.Random(4)
+    patterns = {tuple(sorted(pick.sample(range(20), pick.randint(2, 6)))) for _ in range(20_000)}
+    distinct = {p: pick.randint(1, 500) for p in patterns}
+    capacity = {(p, s): 3 * distinct[p] for p in patterns for s in p}
+    sizes = {s: sum(distinct[p] for p in patterns if s in p) for s in range(20)}
+    quota = {s: int(t) for s, t in mixing.targets(sizes, {s: mixing.WEIGHTS[s % 3] for s in sizes}).items()}
+    flow = mixing.least_cost_flow(distinct, capacity, quota)
+    assert all(0 <= f <= capacity[k] for k, f in flow.items())
+    assert {s: sum(f for (_, t), f in flow.items() if t == s) for s in quota} == quota
+
+
 def test_mix_meets_targets(make_docs, odd_docs, no_docs):
     pick = random.Random(3)
     rows = [(i, " ".join(prose(i % 90, pick.randint(0, 60))), pick.choice(["a", "b", "c", "\U0001f600", None])) for i in range(300)]
