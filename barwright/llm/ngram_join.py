@@ -36,6 +36,7 @@ from barwright.session import materialize
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 BLOCK = 4096
 DEALT = 4096
+FILTER_BITS = 1 << 23
 
 
 class _WordHashes(dict):
@@ -89,14 +90,14 @@ def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) ->
                 total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=slots)
         low = np.minimum(total, 255).astype(np.uint8).reshape(-1, min(BLOCK, slots))
         used = np.flatnonzero(low.any(axis=1))
-        task = xxhash.xxh32_intdigest(low.tobytes()) % 64
+        task = xxhash.xxh32_intdigest(low.tobytes()) % 8
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([task] * len(used), pa.int32()), pa.array([low[i].tobytes() for i in used], pa.binary())], ["block", "task", "counts"])
 
     def add(pdf):
         pdf = pdf.reset_index(drop=True)
-        total = sum(np.frombuffer(c, np.uint8 if len(c) == min(BLOCK, slots) else np.int64).astype(np.int64) for c in pdf["counts"])
+        total = sum(np.frombuffer(c, np.uint8 if len(c) == min(BLOCK, slots) else np.uint32).astype(np.int64) for c in pdf["counts"])
         out = pdf.iloc[:1].copy()
-        out["counts"] = [total.tobytes()]
+        out["counts"] = [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]
         return out
 
     plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
@@ -105,7 +106,7 @@ def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) ->
     rows = parts.groupBy("block").applyInPandas(add, schema).collect()  # slots / 4,096 rows at most
     total = np.zeros((max(slots // BLOCK, 1), min(BLOCK, slots)), np.int64)
     for r in rows:
-        total[r.block] = np.frombuffer(r.counts, np.int64)
+        total[r.block] = np.frombuffer(r.counts, np.uint32)
     return np.minimum(np.log2(total.ravel() + 1.0) * 6, 255).astype(np.uint8)
 
 
@@ -116,57 +117,84 @@ def _signature(hashes: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, slots: int) -> DataFrame:
-    """(id, n, content, sig, alike, prefix): ``alike`` is one for sets of one size and prefix."""
+    """(id, n, content, sig, g, prefix): ``g`` is one for sets of one size and prefix; a task gives each prefix once.
+
+    Should two groups ever have one number, they are taken as one: that adds candidates and loses none.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text_col, shingle, slots))
     shift = np.uint64(64 - (slots - 1).bit_length())
 
     def describe(batches):
+        given: set[int] = set()
         for ids, sets in _batches(batches, shingle):
-            contents, sigs, alike, prefixes = [], [], [], []
+            contents, sigs, numbers, prefixes = [], [], [], []
             for s in sets:
                 n = len(s)
                 rank = ranks.value[(s >> shift).astype(np.int64)]
                 first = s[np.argsort(rank, kind="stable")[: n - (percent * n + 99) // 100 + 1 if n else 0]].astype(np.int64)
                 contents.append(_digest(s.tobytes()))
                 sigs.append(_signature(s))
-                alike.append(_digest(n.to_bytes(8, "big") + first.tobytes()))
-                prefixes.append(first)
+                number = int.from_bytes(_digest(n.to_bytes(8, "big") + first.tobytes())[:8], "big", signed=True)
+                numbers.append(number)
+                prefixes.append(first[:0] if number in given else first)
+                given.add(number)
+            if len(given) > 1_000_000:
+                given.clear()
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *prefixes])
-            arrays = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(alike, pa.binary()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "content", "sig", "alike", "prefix"])
+            arrays = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "content", "sig", "g", "prefix"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(describe, "id long, n long, content binary, sig array<long>, alike binary, prefix array<long>")
+    return plain.mapInArrow(describe, "id long, n long, content binary, sig array<long>, g long, prefix array<long>")
+
+
+def _asked_bits(contents: DataFrame) -> np.ndarray:
+    """A bit for the start of each ``content``: of fixed size, and leaves out most sets that are not asked for."""
+    at = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long") % FILTER_BITS
+    rows = contents.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # FILTER_BITS / 64 rows at most
+        out[r.word] = r.bits
+    return out
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, members): whole sets of ``nodes`` (node, content, first)."""
+def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, members): whole sets of ``nodes`` (node, content). Texts stay where they are; sets asked for travel."""
+    bits = docs.sparkSession.sparkContext.broadcast(_asked_bits(nodes))
+
+    def asked(digest: bytes) -> bool:
+        at = int.from_bytes(digest[:4], "big") % FILTER_BITS
+        return bool(int(bits.value[at >> 6]) >> (at & 63) & 1)
 
     def members(batches):
+        given: set[bytes] = set()
         for _, sets in _batches(batches, shingle):
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["content", "members"])
+            found = {}
+            for s in sets:
+                digest = _digest(s.tobytes())
+                if asked(digest) and digest not in given:
+                    found[digest] = s
+            given.update(found)
+            if len(given) > 1_000_000:
+                given.clear()
+            offsets = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *found.values()]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["content", "members"])
 
-    asked = nodes.select("first").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(asked, F.col("id").eqNullSafe(F.col("first")), "left_semi")
-    found = rows.select("id", "text").mapInArrow(members, "content binary, members array<long>").dropDuplicates(["content"])
-    return materialize(found.join(nodes.select("node", "content"), "content").select("node", "members"), "sets")
+    plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
+    found = plain.mapInArrow(members, "content binary, members array<long>").join(nodes.select("node", "content"), "content")
+    return materialize(found.dropDuplicates(["node"]).select("node", "members"), "sets")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slots: int = 1 << 21, hubs: int = 8) -> DataFrame:
     """(id, n_shingles, component_id) for every row; sets at ``percent`` or more of Jaccard similarity are linked."""
     rows = materialize(_described(docs, id_col, text_col, shingle, percent, slots), "described")
     shown = rows.where("n > 0")
-    groups = shown.select("alike", "n", "prefix").dropDuplicates(["alike"])
-    groups = materialize(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
-    nodes = shown.groupBy("content", "alike", "n").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
-    nodes = nodes.join(groups.select("alike", "g"), "alike").drop("alike")
+    nodes = shown.groupBy("content", "g", "n").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    links = _linked(docs, id_col, text_col, groups, nodes, shingle, percent, hubs)
+    links = _linked(docs, text_col, shown, nodes, shingle, percent, hubs)
     named = nodes.join(links, "node", "left").select("content", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     known = materialize(named.join(least, "label").select("content", "component_id"), "known")
@@ -174,15 +202,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, nodes: DataFrame, shingle: int, percent: int, hubs: int) -> DataFrame:
-    """(node, label) of all nodes that have a link; label is that of their component."""
-    weight = nodes.groupBy("g").agg(F.count("*").alias("k"))
-    firsts = groups.select("g", "n", F.posexplode("prefix").alias("at", "token"))
+def _linked(docs: DataFrame, text_col: str, shown: DataFrame, nodes: DataFrame, shingle: int, percent: int, hubs: int) -> DataFrame:
+    """(node, label) of all nodes that meet another; label is that of their component."""
+    weight = nodes.groupBy("g", "n").agg(F.count("*").alias("k"))
+    firsts = shown.select("g", F.posexplode("prefix").alias("at", "token"))
     shared = firsts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = firsts.join(shared, "token").join(weight, "g")
+    met = materialize(firsts.join(shared, "token").distinct(), "met")  # one group may come from several tasks
+    again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    met = met.join(again, "token").join(weight, "g")
     # Members of one group share a prefix, so they meet in a bucket of their own too.
-    own = weight.where("k > 1").join(groups.select("g", "n"), "g").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("at"), "k")
-    met = materialize(met.select("token", "g", "n", "at", "k").union(own), "met")
+    own = weight.where("k > 1").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("at"), "k")
+    met = materialize(met.select("token", "g", "n", "at", "k").union(own), "met_groups")
     nodes = materialize(nodes.join(met.select("g").distinct(), "g", "left_semi"), "met_nodes")
     labels = nodes.select("node", F.col("node").alias("label"))
     sets, limit, turn = None, 1, 0
@@ -194,13 +224,16 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, node
         buckets = entries.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("k").alias("c"), F.min("order").alias("hub"))
         buckets = materialize(buckets.where("least < most").select("token", "c", "hub"), "buckets")
         if not buckets.take(1):
-            break
+            return labels
         entries = materialize(entries.join(buckets, "token"), "entries")
-        pairs = _candidates(entries, percent, limit, hubs)
-        alike = _verifiable(materialize(pairs, "group_pairs"), labelled, percent, limit, hubs, turn)
-        alike = materialize(alike, "pairs")
-        if sets is None and alike.take(1):
-            sets = _sets(docs, id_col, text_col, nodes, shingle)
+        pairs = materialize(_candidates(entries, percent, limit, hubs), "group_pairs")
+        alike = materialize(_verifiable(pairs, labelled, percent, limit, hubs, turn), "pairs")
+        asked = alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()
+        asked = asked if sets is None else asked.join(sets, "node", "left_anti")
+        asked = materialize(nodes.join(asked, "node", "left_semi").select("node", "content"), "asked")
+        if asked.take(1):
+            more = _sets(docs, text_col, asked, shingle)
+            sets = more if sets is None else sets.union(more)
         if sets is not None:
             links = _verified(alike, sets, percent)
             if links.take(1):
@@ -210,7 +243,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, node
                 labels = materialize(labels, "labels")
         met = materialize(entries.where(F.col("c") > max(limit, hubs)).select("token", "g", "n", "at", "k"), "open")
         limit, turn = limit * hubs, turn + 1
-    return labels
 
 
 def _is_hub(order, count, chosen, limit: int, hubs: int):
