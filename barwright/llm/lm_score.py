@@ -28,57 +28,91 @@ from barwright.llm.pieces import DEFAULT_MODEL, MARK, Vocabulary, load
 from barwright.session import materialize
 
 
-def arcs_of(word: str, vocabulary: Vocabulary) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-    """For each end position the arcs (start, log probability, ids) of the lattice of mark + word."""
-    text = MARK + word
-    entries, size = vocabulary.entries, len(text)
-    arcs: list[list] = [[] for _ in range(size + 1)]
-    literal = MARK in word
-    for start in range(size):
-        single = False
-        for end in range(start + 1, size + 1):
-            if literal and end > 1 and text[end - 1] == MARK:
-                break
-            found = entries.get(text[start:end], 0)
+class WordLattices:
+    """Lattices of mark + word for words given in turn.
+
+    What leads to an end position depends on the characters before it alone. So a word keeps what it has in common
+    with the one before, which is much where words come in order, and arcs are found by walking back from each end
+    through a tree of reversed pieces.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.tree: dict = {}
+        for piece, found in vocabulary.entries.items():
             if found:
-                arcs[end].append((start, found[1], (found[0],)))
-                single = single or end == start + 1
-            elif found == 0:
+                node = self.tree
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = ((found[0],), found[1])
+        self.text = ""
+        self.forward = [0.0]  # per end the natural log of the sum over all ways there
+        self.arcs: list[list] = [[]]  # per end (start, ids, share of the ways there)
+
+    def read(self, word: str) -> None:
+        text, kept = MARK + word, 0
+        for a, b in zip(text, self.text):
+            if a != b:
                 break
-        if not single:
-            ids, cost = vocabulary.spell(text[start])
-            arcs[start + 1].append((start, cost, ids))
-    return arcs
+            kept += 1
+        forward, arcs = self.forward, self.arcs
+        del forward[kept + 1 :], arcs[kept + 1 :]
+        self.text = text
+        for end in range(kept + 1, len(text) + 1):
+            node, single, found, terms = self.tree, False, [], []
+            for start in range(end - 1, -1, -1):
+                c = text[start]
+                if start and c == MARK:  # a literal mark is in no piece
+                    break
+                node = node.get(c)
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece:
+                    found.append((start, piece[0]))
+                    terms.append(forward[start] + piece[1])
+                    single = single or start == end - 1
+            if not single:
+                ids, cost = self.vocabulary.spell(text[end - 1])
+                found.append((end - 1, ids))
+                terms.append(forward[end - 1] + cost)
+            if len(terms) == 1:
+                forward.append(terms[0])
+                arcs.append([(*found[0], 1.0)])
+                continue
+            top = max(terms)
+            shares = [math.exp(t - top) for t in terms]
+            total = sum(shares)
+            forward.append(top + math.log(total))
+            arcs.append([(start, ids, p / total) for (start, ids), p in zip(found, shares)])
+
+    def marginal(self, word: str) -> float:
+        """Natural log of the sum over all segmentations."""
+        self.read(word)
+        return self.forward[-1]
+
+    def expected(self, word: str) -> list[tuple[tuple[int, ...], float]]:
+        """(ids, expected number of uses) of every arc, over all segmentations by their probability."""
+        self.read(word)
+        share = [0.0] * len(self.arcs)
+        share[-1] = 1.0  # probability that a segmentation has a cut here
+        out = []
+        for end in range(len(share) - 1, 0, -1):
+            here = share[end]
+            if here > 1e-12:
+                for start, ids, p in self.arcs[end]:
+                    p *= here
+                    share[start] += p
+                    out.append((ids, p))
+        return out
 
 
 def marginal(word: str, vocabulary: Vocabulary) -> float:
-    """Natural log of the sum over all segmentations of mark + word."""
-    forward = [0.0]
-    for into in arcs_of(word, vocabulary)[1:]:
-        terms = [forward[start] + cost for start, cost, _ in into]
-        top = max(terms)
-        forward.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-    return forward[-1]
+    return WordLattices(vocabulary).marginal(word)
 
 
 def expected_pieces(word: str, vocabulary: Vocabulary) -> list[tuple[tuple[int, ...], float]]:
-    """(ids, expected number of uses) of every arc, over all segmentations by their probability."""
-    arcs = arcs_of(word, vocabulary)
-    forward = [0.0]
-    for into in arcs[1:]:
-        terms = [forward[start] + cost for start, cost, _ in into]
-        top = max(terms)
-        forward.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-    share = [0.0] * len(arcs)
-    share[-1] = 1.0  # probability that a segmentation has a cut here
-    out = []
-    for end in range(len(arcs) - 1, 0, -1):
-        if share[end] > 1e-12:
-            for start, cost, ids in arcs[end]:
-                p = share[end] * math.exp(forward[start] + cost - forward[end])
-                share[start] += p
-                out.append((ids, p))
-    return out
+    return WordLattices(vocabulary).expected(word)
 
 
 def count_words(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:
@@ -110,13 +144,14 @@ def fit_pieces(words: DataFrame, ends: int, vocabulary: Vocabulary, prior_weight
     shared = words.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = shared.value
-        total = np.zeros(len(base.scores))
+        lattices = WordLattices(shared.value)
+        sums = [0.0] * len(shared.value.scores)
         for batch in batches:
             for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for ids, p in expected_pieces(word.decode(), base):
+                for ids, p in lattices.expected(word.decode()):
                     for i in ids:
-                        total[i] += p * count
+                        sums[i] += p * count
+        total = np.array(sums)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "n"])
 
@@ -138,7 +173,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     held_out = id_remainder(F.col(id_col), folds) == 0
-    words = materialize(count_words(docs, held_out, text_col), "words")
+    words = materialize(count_words(docs, held_out, text_col).sortWithinPartitions("word"), "words")
     known = words.agg(F.sum("trained"), F.count(F.when(F.col("trained") > 0, 1)), F.sum(F.col("trained") + F.col("held"))).first()
     ends = docs.where(~held_out).count()
     tokens = (known[0] or 0) + ends
@@ -149,9 +184,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(model)
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ten = shared.value, math.log(10)
+        lattices, ten = WordLattices(shared.value), math.log(10)
         for batch in batches:
-            scores = [marginal(w.decode(), vocabulary) / ten for w in batch.column(0).to_pylist()]
+            scores = [lattices.marginal(w.decode()) / ten for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "trained", "held", "score"])
 
     scored = words.select("word", "trained", "held").mapInArrow(score_words, "word binary, trained long, held long, score double")
