@@ -151,11 +151,19 @@ def mix(
 
     Sources in code point order, null last, have the ``weights`` in turn. The last document of an arc is
     taken in part to meet the quota; with ``whole`` it is taken fully or not at all, whichever is nearer.
+    Columns of ``docs`` may have any names, also these; then the result has a name twice.
     Only if ``max_patterns`` is given are texts of patterns beyond that many largest left out of the overlap.
     """
+    mixed = _mixed(docs, id_col, text_col, source_col, weights, whole, seed, max_patterns)
+    return mixed.select("_row.*", "_size", "_source_size", "_target", "_taken")
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, whole: bool = False, seed: int = 1, max_patterns: int | None = None) -> DataFrame:
+    """The same with the columns of ``docs`` in one struct, _row."""
     content = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    wide = docs.withColumns({"_size": n_words(F.col(text_col)), "_content": content})
-    rows = materialize(wide.select(F.col(source_col).alias("source"), "_size", "_content"), "sizes")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its fields may have any names
+    wide = docs.select(packed, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), content.alias("_content"))
+    rows = materialize(wide.select(F.col("_source").alias("source"), "_size", "_content"), "sizes")
     sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("_size")).collect()}
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     code = {s: i for i, s in enumerate(names)}
@@ -182,13 +190,12 @@ def mix(
 
     plan = [(f"{p}|{s}", f // cells[p, s], f % cells[p, s]) for (p, s), f in sorted(flow.items())]
     plan = spark.createDataFrame(plan, "_cell string, _times long, _rest long")
-    out = wide.join(table.withColumnRenamed("source", "_name"), F.col(source_col).eqNullSafe(F.col("_name"))).drop("_name")
+    out = wide.join(table.withColumnRenamed("source", "_name"), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     out = out.join(shared, "_content", "left").withColumn("_cell", F.concat_ws("|", own, F.col("_s").cast("string")))
-    out = out.withColumn("_order", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_content")))
+    out = out.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_content")))
     out = running_total(out, "_cell", "_order", [], "_size", "_earlier").join(plan, "_cell", "left")
-    return out.withColumn("_taken", F.coalesce(F.col("_times") * F.col("_size") + _share(whole), F.lit(0).cast("long"))).drop(
-        "_content", "_pattern", "_s", "_cell", "_order", "_earlier", "_times", "_rest"
-    )
+    taken = F.coalesce(F.col("_times") * F.col("_size") + _share(whole), F.lit(0).cast("long"))
+    return out.select("_row", "_size", "_source_size", "_target", taken.alias("_taken"))
 
 
 def _share(whole: bool) -> Column:
@@ -201,6 +208,6 @@ def _share(whole: bool) -> Column:
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it, whole."""
-    mixed = mix(docs, whole=True, **options).where("_taken > 0")
+    mixed = _mixed(docs, whole=True, **options).where("_taken > 0")
     times = F.expr("explode(sequence(1L, _taken div _size))")
-    return mixed.select(*docs.columns, times.alias("_time")).select(*docs.columns)
+    return mixed.select("_row", times.alias("_time")).select("_row.*")

@@ -6,20 +6,14 @@ whatever meets on a variant is a pair. A variant can meet at most 65 different f
 the data; the flipped bits of all of them fit in one long, so the bucket is a hash aggregate of fixed
 size and no bucket is ever collected. Copies are folded into one fingerprint first.
 
-``near_duplicates`` finds texts by Jaccard similarity of their shingles, where more than two bits
-differ. It hashes several tables of shorter fingerprints and emits the part of the ball that matters:
-the bits nearest to a tie are those that an edit flips, so each side flips up to two of its least
-certain bits and both meet in the middle; colliding pairs are verified on the shingles themselves.
+``representatives`` keeps one document of each group.
 
 Nulls and texts without words have fingerprint zero; a null id takes part and never becomes the least id.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from decimal import Decimal
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,10 +25,6 @@ from barwright.llm.common import lower_words
 from barwright.llm.components import connected_components
 from barwright.session import materialize
 
-#: Odd multipliers that derive further hash words from one shingle hash.
-MIXERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
 def shingle_digests(text: str | None, shingle: int) -> bytes:
     """XXH64 (seed 42, big-endian) of each shingle in turn; fewer words make one shingle, none make none."""
     words = lower_words(text)
@@ -116,156 +106,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(known, "fp").select("id", "fp", "component_id")
 
 
-# -- similarity of shingles ---------------------------------------------------
-
-
-def _variants(digests: bytes, tables: int, bits: int, uncertain: int, half: int) -> list[int]:
-    """Bucket keys of one text: for each table its bits, with up to ``half`` of the least certain ones flipped."""
-    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
-    margins = []
-    for mixer in MIXERS[: -(-tables * bits // 64)]:
-        z = hashes * np.uint64(mixer)
-        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-        margins.append(bit_margins(z ^ (z >> np.uint64(29))))
-    rows = np.concatenate(margins)[: tables * bits].reshape(tables, bits)
-    weights = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
-    base = ((rows > 0) * weights).sum(1, dtype=np.uint64) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))
-    flips = weights[np.argsort(np.abs(rows), axis=1, kind="stable")[:, :uncertain]]
-    picks = [c for k in range(half + 1) for c in combinations(range(uncertain), k)]
-    masks = np.stack([np.bitwise_or.reduce(flips[:, list(c)], axis=1) if c else np.zeros(tables, np.uint64) for c in picks], axis=1)
-    return (base[:, None] ^ masks).ravel().astype(np.int64)
-
-
-def _prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set (sorted, distinct) in an order of all texts: ``common`` ones last, by their place there.
-
-    Texts of the given similarity share ceil(similarity * size) shingles or more, so the first one that they
-    share is among these of both.
-    """
-    n = len(shingles)
-    length = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    if not len(common):
-        return shingles[:length]
-    at = np.minimum(np.searchsorted(common["key"], shingles), len(common) - 1)
-    place = np.where(common["key"][at] == shingles, common["place"][at], 0)
-    return shingles[np.lexsort((shingles, place))[:length]]
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    similarity: float = 0.8,
-    tables: int = 6,
-    bits: int = 32,
-    uncertain: int = 8,
-    half: int = 2,
-) -> DataFrame:
-    """(id, component_id): groups of rows whose texts are equal word by word or linked by shingle similarity.
-
-    component_id is the least id of the group. Rows that share an id are taken as one document. Texts without
-    words are equal to each other and to nothing else; null ids are grouped by equal words alone.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` less all but one document of each group of linked fingerprints.
 
-    The result is exact: any two texts at the similarity are linked. The ball (``tables``, ``bits``,
-    ``uncertain``, ``half``) only finds most links early, cheaply and without the square of a group: inside
-    a bucket each text is compared with the one that collides most often, the hub. Then texts meet on each of
-    their first shingles in an order with common ones last (a sample tells which; any order gives the same
-    pairs). Buckets inside one group are done; in the others all are compared with a hub while that still
-    unites groups and many pairs are open, and finally every pair of different groups whose sizes and
-    places of the shared shingle allow the similarity. Every link is verified by exact Jaccard similarity.
+    The one that stays is the one of least id, then least text hash; rows without an id count as one id a text,
+    below all others that are given. Rows of one id are told apart by their texts; equal ones of them are one
+    document. Columns may have any names: rows travel as one struct. An empty table stays empty.
     """
-
-    @F.pandas_udf("struct<content: string, words: boolean>")
-    def content(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            joined = [b" ".join(lower_words(t)) for t in batch]
-            yield pd.DataFrame({"content": [xxhash.xxh128_hexdigest(j) for j in joined], "words": [bool(j) for j in joined]})
-
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_variants(shingle_digests(t, shingle), tables, bits, uncertain, half) for t in batch])
-
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.unique(np.frombuffer(shingle_digests(t, shingle), ">i8").astype(np.int64)) for t in batch])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = materialize(rows.select("id", content("text").alias("c")).select("id", "c.*"), "contents")
-    first = materialize(ids.groupBy("content", "words").agg(F.min("id").alias("first")), "firsts")
-    shown = first.where("words AND first IS NOT NULL").select(F.col("first").alias("id"))
-    reps = rows.join(shown, "id", "left_semi").dropDuplicates(["id"])
-    buckets = materialize(reps.select("id", F.explode(keys("text")).alias("key")), "buckets")
-
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = materialize(buckets.join(shared, "key"), "met")
-    degree = materialize(met.groupBy("id").agg(F.count("*").alias("degree")), "degree")
-    ranked = materialize(met.join(degree, "id"), "ranked")
-    # Hub: highest degree, then least id; both in one decimal so that the aggregate stays a hash aggregate.
-    rank = F.col("degree").cast("decimal(10,0)") * F.lit(Decimal(2**64)) - F.col("id").cast("decimal(20,0)")
-    hubs = materialize(ranked.groupBy("key").agg(F.max(rank).alias("rank")), "hubs")
-    hub_ids = materialize(degree.select(F.col("id").alias("hub"), rank.alias("rank")), "hub_ids")
-    hubs = materialize(hubs.join(hub_ids, "rank").select("key", "hub"), "hubs_by_key")
-    pairs = materialize(ranked.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "pairs")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b): those of ``pairs`` (id, hub) that are alike."""
-        asked = pairs.select("id").union(pairs.select("hub")).distinct()
-        sets = materialize(reps.join(asked, "id", "left_semi").select("id", shingles("text").alias("s")), "shingles")
-        both = pairs.join(sets, "id").withColumnRenamed("s", "x").join(sets.withColumnsRenamed({"id": "hub", "s": "y"}), "hub")
-        common = F.size(F.array_intersect("x", "y"))
-        alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-        return materialize(alike.select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
-
-    def united(links: DataFrame) -> DataFrame:
-        return materialize(connected_components(links).withColumnsRenamed({"node": "id", "component": "group"}), "groups")
-
-    groups = united(verified(pairs))
-
-    sample = reps.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(16)) == 0).select(F.explode(shingles("text")).alias("key"))
-    often = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(200_000).collect()
-    places = sorted((r.key, len(often) - i) for i, r in enumerate(often))  # the most common one comes last
-    late = docs.sparkSession.sparkContext.broadcast(np.array(places, dtype=[("key", "<i8"), ("place", "<i8")]))
-
-    @F.pandas_udf("struct<size: int, keys: array<long>>")
-    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [np.unique(np.frombuffer(shingle_digests(t, shingle), ">i8").astype(np.int64)) for t in batch]
-            yield pd.DataFrame({"size": [len(x) for x in sets], "keys": [_prefix(x, late.value, similarity) for x in sets]})
-
-    firsts = reps.select("id", prefix("text").alias("p")).select("id", "p.size", F.posexplode("p.keys").alias("at", "key"))
-    firsts = materialize(firsts, "prefixes")
-    shared = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = materialize(firsts.join(shared, "key"), "met_prefixes")
-
-    n, m = F.col("size"), F.col("hub_size")
-    least = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-6
-    possible = (F.least(n - F.col("at"), m - F.col("hub_at")) >= least) & (F.col("group") != F.col("hub_group"))
-    turn, last, gained = 0, False, True
-    while not last:
-        # Buckets whose texts are all of one group are done for good: groups only grow.
-        met = materialize(met.drop("group").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
-        apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high")
-        apart = materialize(apart.select("key", "n"), "apart")
-        met = materialize(met.join(apart.select("key"), "key"), "met_apart")
-        rows, many = apart.agg(F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
-        if not rows:
-            break
-        hubs = met
-        last = many <= 4 * rows or not gained
-        if not last:
-            turn += 1
-            order = F.xxhash64(F.lit(turn), "id")
-            chosen = materialize(met.groupBy("key").agg(F.min(order).alias("order")), "chosen")
-            hubs = met.withColumn("order", order).join(chosen, ["key", "order"])
-        hubs = hubs.select("key", F.col("id").alias("hub"), n.alias("hub_size"), F.col("at").alias("hub_at"), F.col("group").alias("hub_group"))
-        found = met.join(hubs, "key").where(possible & (F.col("id") < F.col("hub")) if last else possible)
-        links = verified(materialize(found.select("id", "hub").distinct(), "pairs"))
-        gained = bool(links.take(1))
-        if gained:
-            groups = united(links.union(groups.select(F.col("id").alias("a"), F.col("group").alias("b"))))
-
-    known = materialize(first.join(groups.withColumnsRenamed({"id": "first", "group": "root"}), "first", "left").select("content", F.coalesce("root", "first").alias("component_id")), "known")
-    return ids.join(known, "content").select("id", "component_id")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(body), 1) - 1)
+    names = F.struct(key.alias("key"), F.xxhash64(body, F.lit(1)).alias("hash"))
+    rows = materialize(docs.select(names.alias("name"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "named")
+    linked = connected_components(linked_pairs(rows.select("fp").distinct())).withColumnsRenamed({"node": "fp", "component": "root"})
+    least = rows.groupBy("fp").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    first = least.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("name").alias("name"))
+    kept = rows.join(first.select("name"), "name").groupBy("name").agg((F.count("*") > 1).alias("repeated"))
+    kept = materialize(kept, "kept")
+    packed = docs.select(names.alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = packed.join(kept.where("NOT repeated"), "name", "left_semi")
+    often = packed.join(kept.where("repeated"), "name", "left_semi").dropDuplicates(["name"])
+    return once.union(often).select("row.*")

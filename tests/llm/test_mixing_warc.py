@@ -6,6 +6,8 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from barwright.llm import mixing, warc
 from tests.llm.conftest import prose
 
@@ -180,3 +182,15 @@ def test_damage_is_seen(spark):
 
 def test_no_pages(spark):
     assert warc.read_archive(warc.write_archive(pages_of(spark, []))).count() == 0
+
+
+def test_columns_of_any_name(make_docs):
+    """Names that the operator uses itself, in several cases."""
+    rows = [(i, " ".join(prose(i, 5 + i % 9)), "ab"[i % 2]) for i in range(60)]
+    names = ["_SIZE", "_content", "_Row", "_s", "_source", "_source_size", "_target", "_name", "_cell", "_order", "_bucket", "_times", "_rest", "_taken", "_time", "_pattern", "_id", "_earlier", "shared", "p"]
+    plain = make_docs(rows)
+    docs = plain.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = mixing.sample(docs)
+    assert out.columns == docs.columns and all(r["_SIZE"] == 0 and r["_time"] == 14 for r in out.collect())
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in mixing.sample(plain).collect())
+    assert mixing.mix(docs).count() == 60

@@ -102,3 +102,51 @@ def test_other_thresholds(make_docs, mixed, percent, shingle):
 def test_no_rows_and_no_words(make_docs, no_docs):
     assert result(no_docs) == []
     assert result(make_docs([(1, None), (2, ""), (None, " ")])) == plain_components([(1, None), (2, ""), (None, " ")])
+
+
+def jaccard_groups(rows, similarity=0.8, k=5):
+    """Least id of each group of linked texts, straight from the definition."""
+    sets = {}
+    for i, text in rows:
+        words = text.lower().split()
+        sets[i] = {" ".join(words[j : j + k]) for j in range(max(1, len(words) - k + 1))}
+    out = {i: i for i in sets}
+    for i in sorted(sets):
+        todo = [i] if out[i] == i else []
+        while todo:
+            a = todo.pop()
+            for b in sets:
+                if out[b] == b > i and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                    out[b] = i
+                    todo.append(b)
+    return out
+
+
+def test_isolated_pairs_just_above_the_threshold(make_docs):
+    """Every pair at 0.80 to 0.83, each alone, at several lengths."""
+    rows = []
+    for i in range(240):
+        n = (54, 154, 604)[i % 3]
+        words = prose(2000 + i, n)
+        shared = -(-(n - 4) * 89 // 100)  # the share of shingles kept on each side: 0.89 / 1.11 is just above 0.8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: shared + 4] + prose(5000 + i, n - shared - 4)))]
+    want = jaccard_groups(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(240))
+    assert {r.id: r.component_id for r in ngram_join.components(make_docs(rows)).collect()} == want
+
+
+def test_families_in_one_bucket(make_docs):
+    """Families on one shared passage: whatever meets a busier text first is still compared with its own kind."""
+    rows = []
+    passage = prose(1, 200)
+    for f in range(12):
+        own = passage + prose(50 + f, 90)
+        for v in range(5):
+            words = list(own)
+            words[200 + 15 * v : 210 + 15 * v] = prose(700 + 10 * f + v, 10)
+            rows.append((10 * f + v, " ".join(words)))
+    want = jaccard_groups(rows)
+    assert len(set(want.values())) == 12
+    # With two slots the order is hardly better than hashes, so the passage is in most prefixes.
+    for options in ({}, {"slots": 2, "hubs": 2}):
+        assert {r.id: r.component_id for r in ngram_join.components(make_docs(rows), **options).collect()} == want

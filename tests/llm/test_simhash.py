@@ -4,6 +4,8 @@ import random
 
 import xxhash
 
+from pyspark.sql import functions as F
+
 from barwright.llm import simhash
 from barwright.llm.components import connected_components
 from tests.llm.conftest import prose
@@ -68,7 +70,6 @@ def test_two_bits_link_and_three_do_not(spark):
 
 def test_empty_table(no_docs):
     assert simhash.components(no_docs).count() == 0
-    assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def test_long_chain_of_edges(spark):
@@ -77,66 +78,22 @@ def test_long_chain_of_edges(spark):
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
-def test_near_duplicates_by_similarity(make_docs, odd_docs):
-    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    for i in range(40):
-        words = prose(100 + i, 300)
-        edited = list(words)
-        for at in (20, 120, 220):
-            edited[at] = "changed"
-        other = words[:150] + prose(900 + i, 150)  # a third of the shingles in common
-        rows += [(100 + i, " ".join(words)), (200 + i, " ".join(edited)), (300 + i, " ".join(other)), (400 + i, " ".join(words).upper())]
-    got = {r.id: r.component_id for r in simhash.near_duplicates(make_docs(rows)).collect()}
-    for i in range(40):
-        assert got[200 + i] == got[400 + i] == got[100 + i] == 100 + i
-        assert got[300 + i] == 300 + i
-    assert got[5] == got[6] == 5 and got[7] == got[8] == 7
-    assert got[1] == got[2] == got[3] == 1 and got[4] == 4
-
-
-def jaccard_groups(rows, similarity=0.8, k=5):
-    """Least id of each group of linked texts, straight from the definition."""
-    sets = {}
-    for i, text in rows:
-        words = text.lower().split()
-        sets[i] = {" ".join(words[j : j + k]) for j in range(max(1, len(words) - k + 1))}
-    out = {i: i for i in sets}
-    for i in sorted(sets):
-        todo = [i] if out[i] == i else []
-        while todo:
-            a = todo.pop()
-            for b in sets:
-                if out[b] == b > i and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-                    out[b] = i
-                    todo.append(b)
-    return out
-
-
-def test_isolated_pairs_just_above_the_threshold(make_docs):
-    """Every pair at 0.80 to 0.83, each alone, at several lengths; the ball alone misses some."""
+def test_one_row_of_each_group_stays(make_docs, odd_docs, no_docs):
     rows = []
-    for i in range(240):
-        n = (54, 154, 604)[i % 3]
-        words = prose(2000 + i, n)
-        shared = -(-(n - 4) * 89 // 100)  # the share of shingles kept on each side: 0.89 / 1.11 is just above 0.8
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: shared + 4] + prose(5000 + i, n - shared - 4)))]
-    want = jaccard_groups(rows)
-    assert all(want[2 * i + 1] == 2 * i for i in range(240))
-    assert {r.id: r.component_id for r in simhash.near_duplicates(make_docs(rows)).collect()} == want
-
-
-def test_families_in_one_bucket(make_docs):
-    """Families on one shared passage: whatever meets a busier text first is still compared with its own kind."""
-    rows = []
-    passage = prose(1, 200)
-    for f in range(12):
-        own = passage + prose(50 + f, 90)
-        for v in range(5):
-            words = list(own)
-            words[200 + 15 * v : 210 + 15 * v] = prose(700 + 10 * f + v, 10)
-            rows.append((10 * f + v, " ".join(words)))
-    want = jaccard_groups(rows)
-    assert len(set(want.values())) == 12
-    # One bit and one table: all texts share two buckets, so the hub of each is of one family.
-    for options in ({}, {"tables": 1, "bits": 1, "uncertain": 1, "half": 0}):
-        assert {r.id: r.component_id for r in simhash.near_duplicates(make_docs(rows), **options).collect()} == want
+    for i in range(40):
+        words = prose(i % 10, 60)
+        if i >= 20:
+            words[i] = "edited"
+        rows.append((i + 100, " ".join(words)))
+    rows += [(r.doc_id, r.text) for r in odd_docs.collect()] + [(100, "another text under one id")] * 3 + [(7, "Same text here")] * 50
+    docs = make_docs(rows).select("*", *[F.lit(k).alias(n) for k, n in enumerate(["NAME", "Key", "hash", "fp", "row", "root", "repeated", "_ID"])])
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    component = {(r.id, r.fp): r.component_id for r in simhash.components(docs).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(component[i, simhash.fingerprint(t)], set()).add((i, simhash.fingerprint(t)))
+    assert len(got) == len(set(got)) and sorted(str(component[i, simhash.fingerprint(t)]) for i, t in got) == sorted(str(g) for g in groups)
+    assert all(i == component[i, simhash.fingerprint(t)] or i is None for i, t in got)
+    assert simhash.representatives(no_docs).count() == 0
