@@ -24,16 +24,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies (five-word shingles, similarity 0.8).
-
-    Rows of one id are one document; rows without an id are told apart by their text.
-    """
+    """Keeps the document of least id of each group whose fingerprints hang together by two bits or less."""
     ship_package(spark)
-    by_text = -F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1) - 1
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), by_text))
-    groups = simhash.near_duplicates(named, id_col="_id")
-    kept = materialize(groups.where("id = component_id").select(F.col("id").alias("_id")).distinct(), "kept")
-    return named.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    return simhash.representatives(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
