@@ -99,10 +99,10 @@ def _step(members: Column, slot: Column) -> Column:
 def paths(levels: list[DataFrame], top: DataFrame, fan_out: int) -> DataFrame | None:
     """(tree, run, members, subroot, path) of the lowest level; ``path`` is that of the run's parent, up to the root.
 
-    ``top`` gives (tree, subroot, path) of the trees' own roots. Levels are walked from the top, and a run hands
+    ``top`` gives (tree, zero, subroot, path) of the trees' own roots, at position zero. Levels are walked from the top, and a run hands
     its path on to all members at once.
     """
-    start = top.select("tree", F.lit(0).cast("long").alias("run"), F.struct("subroot", "path").alias("top"))
+    start = top.select("tree", F.col("zero").alias("run"), F.struct("subroot", "path").alias("top"))
     above, runs = None, None
     for level in reversed(levels):
         runs = level.join(start, ["tree", "run"], "left")
@@ -117,7 +117,7 @@ def paths(levels: list[DataFrame], top: DataFrame, fan_out: int) -> DataFrame |
 
 def with_paths(nodes: DataFrame, levels: list[DataFrame], top: DataFrame, fan_out: int) -> DataFrame:
     """``nodes`` (tree, pos, ...) with subroot and path: for each level (before, after), the siblings' digests."""
-    lone = top.select("tree", F.lit(0).cast("long").alias("pos"), F.col("subroot").alias("top_subroot"), F.col("path").alias("top_path"))
+    lone = top.select("tree", F.col("zero").alias("pos"), F.col("subroot").alias("top_subroot"), F.col("path").alias("top_path"))
     joined = nodes.join(lone, ["tree", "pos"], "left")
     runs = paths(levels, top, fan_out)
     if runs is None:
@@ -161,12 +161,15 @@ def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, fields:
 
     total = subroots.count()
     upper = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), "digest", F.lit(total).cast("long").alias("n"))
+    upper = materialize(upper, "upper")
     upper_levels, roots = build(upper, fan_out)
     root = roots.select("digest").first()
     root = root and root[0]
     nothing = F.array().cast("array<struct<before: string, after: string>>")
-    summit = roots.select("tree", F.col("digest").alias("subroot"), nothing.alias("path"))
+    zero = F.lit(0).cast("long").alias("zero")
+    summit = roots.select("tree", zero, F.col("digest").alias("subroot"), nothing.alias("path"))
+    summit = materialize(summit, "summit")
     top = with_paths(upper, upper_levels, summit, fan_out)
-    top = materialize(top.select(F.col("pos").alias("tree"), F.col("digest").alias("subroot"), "path"), "tops")
+    top = materialize(top.select(F.col("pos").alias("tree"), zero, F.col("digest").alias("subroot"), "path"), "tops")
     found = with_paths(leaves, levels, top, fan_out)
     return found.select(F.col("id").alias(fields[0]), "leaf", "subroot", F.lit(root).cast("string").alias("root"), "path", "presented")

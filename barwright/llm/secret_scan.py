@@ -498,9 +498,9 @@ def redact_column(formats: Formats, text: Column, mask: str = "[secret]") -> Col
     return run(text)
 
 
-def redact(text: str | None, formats: Formats = NO_FORMATS, mask: str = "[secret]") -> str | None:
+def redact(text: str | None, formats: Formats | None = None, mask: str = "[secret]") -> str | None:
     base = base_spans(text)
-    spans = sorted(base + formats.find(text, base))
+    spans = sorted(base + (formats or NO_FORMATS).find(text, base))
     if not spans:
         return text
     out, at = [], 0

@@ -109,13 +109,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` less all but one document of each group of linked fingerprints.
 
-    The one that stays is the one of least id, then least text hash; rows without an id count as one id a text,
-    below all others that are given. Rows of one id are told apart by their texts; equal ones of them are one
+    The one that stays is the one of least id, then least text hash; rows without an id come last and count as
+    one id a text. Rows of one id are told apart by their texts; equal ones of them are one
     document. Columns may have any names: rows travel as one struct. An empty table stays empty.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(body), 1) - 1)
-    names = F.struct(key.alias("key"), F.xxhash64(body, F.lit(1)).alias("hash"))
+    names = F.struct(F.col(id_col).isNull().alias("unnamed"), key.alias("key"), F.xxhash64(body, F.lit(1)).alias("hash"))
     rows = materialize(docs.select(names.alias("name"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "named")
     linked = connected_components(linked_pairs(rows.select("fp").distinct())).withColumnsRenamed({"node": "fp", "component": "root"})
     least = rows.groupBy("fp").agg(F.min("name").alias("name"), F.count("*").alias("n"))

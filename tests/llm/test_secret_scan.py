@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -72,3 +73,85 @@ def test_empty_table_and_few_examples(no_docs, make_docs):
     row = s.scan(make_docs([(1, "password=abcdef1234567890ab and abcdef1234567890aa")])).collect()[0]
     assert len(row.base) == 1 and not row.added
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def hexes(pick, k):
+    return "".join(pick.choices("0123456789abcdef", k=k))
+
+
+def tokens(pick, head="ghp_", k=36):
+    return head + "".join(pick.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k))
+
+
+def learned(spark, make_docs, n_hex, others=()):
+    pick = random.Random(4)
+    values = [hexes(pick, 40) for _ in range(n_hex)] + [tokens(pick) for _ in range(90)] + [make(pick) for make, n in others for _ in range(n)]
+    rows = [(i, f"once upon a time the password was kept well; token={v}, and so on it went") for i, v in enumerate(values)]
+    return s.learn_formats(s.materialize(s.find_spans(make_docs(rows)), "spans"))
+
+
+def test_lengths_rare_formats_and_growth(spark, make_docs):
+    """Lengths are learned, and so is a format that few examples have, however many others there are."""
+    pick = random.Random(8)
+    probes = {k: [hexes(pick, k) for _ in range(50)] for k in (16, 20, 30, 39, 40, 41, 60, 120)}
+    fresh, longer = [tokens(pick) for _ in range(50)], [tokens(pick, k=40) for _ in range(50)]
+    small = learned(spark, make_docs, 1500)
+    grown = learned(spark, make_docs, 1500, [(lambda p: "AKIA" + hexes(p, 20).upper(), 3000), (lambda p: "sk." + tokens(p, "live.", 24), 1500), (lambda p: hexes(p, 64), 2500)])
+    for formats in (small, grown):
+        assert all(sum(map(formats.is_secret, v)) == (50 if k == 40 else 0) for k, v in probes.items())
+        assert sum(map(formats.is_secret, fresh)) >= 48 and not any(map(formats.is_secret, longer))
+        assert not any(map(formats.is_secret, ["internationalisation-and-localisation", "see/the/handbook/of/gardening/2024/vol2", "_" * 40]))
+    dotted = "sk." + tokens(pick, "live.", 24)
+    assert grown.is_secret(dotted) and not small.is_secret(dotted)
+    text = f"({dotted}) or {dotted}. Then x={fresh[0]} end"
+    assert [(x[0], x[3]) for x in grown.find(text, [])] == [(1, dotted), (text.index(dotted, 9), dotted), (text.index(fresh[0]), fresh[0])]
+
+
+def test_runs_beside_base_spans():
+    text = "ab_" + "f" * 24 + "-tail token=abcdef1/x " + "0" * 24 + "z"
+    base = s.base_spans(text)
+    covered = {i for a, _, b, _ in base for i in range(a, b)}
+    plain = "".join(c if i not in covered else " " for i, c in enumerate(text))
+    assert list(s.runs(text, base)) == [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", plain)]
+    assert list(s.runs(None, [])) == []
+    many = " ".join(f"x{i}-" + "a" * 24 for i in range(5000))
+    assert len(list(s.runs(many, s.base_spans(many)))) == 5000
+
+
+def test_scores_are_products_along_the_words():
+    """An automaton's score against the counts it was made of, step by step."""
+    words = {"00a": 30.0, "0a": 20.0, "a": 50.0}
+    children, visits = s.prefix_tree(words, support=1)
+    machine = s.merge_tree(children, visits, evidence=1e9)  # nothing merges: the tree itself
+    counts = {}
+    for w, n in words.items():
+        for q, c in machine.walk(w):
+            counts.setdefault(q, {}).setdefault(c, 0)
+            counts[q][c] += n
+    machine.set_counts(counts)
+    step = lambda p, width: math.log(p * (1 - s.FREE) / width)
+    assert abs(machine.total("00a")[0] - (step(0.5, 10) + step(0.6, 10) + step(1, 6))) < 1e-9
+    assert abs(machine.total("a")[0] - step(0.5, 6)) < 1e-9
+    assert machine.total("aa")[0] == machine.total("")[0] == -math.inf
+    assert machine.accepts("0a", -1e9) and not machine.accepts("0a", 0.0)
+    pairs = {"$g": 8.0, "gg": 20.0, "g$": 8.0, "$0": 2.0, "0$": 2.0}
+    usual = s.Background(pairs)
+    want = math.log(8.01 / 11 / 20) + math.log(20.01 / 29 / 20) + math.log(8.01 / 29)
+    assert abs(usual.score("gg") - want) < 1e-9 and usual.score("g0") < want
+
+
+def test_pooled_tails_keep_lengths():
+    pick = random.Random(6)
+    words = {s.shape(hexes(pick, k)): 1.0 for k in (12, 18) for _ in range(200)}
+    machine = s.merge_tree(*s.prefix_tree(words))
+    counts = {}
+    for w in words:
+        for q, c in machine.walk(w):
+            counts.setdefault(q, {}).setdefault(c, 0)
+            counts[q][c] += 1
+    machine.set_counts(counts)
+    assert len(machine.steps) < 120
+    for k in range(8, 24):
+        assert any(machine.accepts(s.shape(hexes(pick, k)), -1e9) for _ in range(20)) == (k in (12, 18))
+    long = {"0" * k: 1.0 for k in range(300, 330)}
+    assert s.merge_tree(*s.prefix_tree(long, longest=64)).walk("0" * 400)
