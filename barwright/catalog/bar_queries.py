@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("w15_time_split", f"WITH {split_sql()} SELECT series_id, ts, row_id, n_rows, split, target FROM split_rows")
 def _(spark, d):
-    return prep.time_split(prepared_by_type(spark, d)).select(*KEYS, "row_id", "n_rows", "split", "target")
+    return prep.prepare_split(bars_by_type(spark, d)).select(*KEYS, "row_id", "n_rows", "split", "target")
 
 
 @query(
@@ -447,13 +447,13 @@ SELECT series_id, ts, split, {shown} FROM split_rows, s"""
 
 @query("a09_scale_on_train", _scaled_sql("WHERE split = 'train'"))
 def _(spark, d):
-    out = prep.scale_features(materialize(prep.time_split(prepared_by_type(spark, d))), fit_on="train")
+    out = prep.scale_features(prep.prepare_split(bars_by_type(spark, d)), fit_on="train")
     return rounded(out.select(*KEYS, "split", *MODEL_FEATURES))
 
 
 @query("a09_scale_on_all", _scaled_sql())
 def _(spark, d):
-    out = prep.scale_features(materialize(prep.time_split(prepared_by_type(spark, d))), fit_on="all")
+    out = prep.scale_features(prep.prepare_split(bars_by_type(spark, d)), fit_on="all")
     return rounded(out.select(*KEYS, "split", *MODEL_FEATURES))
 
 

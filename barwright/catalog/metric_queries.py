@@ -24,6 +24,7 @@ from barwright.functions import rules
 from barwright.operators import drift, scoring
 from barwright.operators import metrics as met
 from barwright.operators import ranking
+from barwright.operators.layout import Layout
 from barwright.operators.models import blend, ensemble
 from barwright.session import materialize
 
@@ -78,19 +79,17 @@ def _(spark, d):
     return rounded(met.classification_report(predictions(spark, d)))
 
 
-_last10 = f"""WITH {PRED},
-last AS (SELECT * FROM predictions WHERE model = 'rsi' ORDER BY ts DESC, series_id DESC LIMIT 10)"""
-
-
 @query(
     "a14_signal_statistics",
-    f"""{_last10}
-SELECT count(*) FILTER (WHERE pred = 1) AS n_up, count(*) FILTER (WHERE pred = 0) AS n_down, {r('avg(score)', 'mean_score')},
-       {r('min(score)', 'min_score')}, {r('max(score)', 'max_score')} FROM last""",
+    f"""WITH {PRED},
+last AS (SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts DESC, series_id DESC) <= 10)
+SELECT model, count(*) FILTER (WHERE pred = 1) AS n_up, count(*) FILTER (WHERE pred = 0) AS n_down, {r('avg(score)', 'mean_score')},
+       {r('min(score)', 'min_score')}, {r('max(score)', 'max_score')} FROM last GROUP BY model""",
 )
 def _(spark, d):
-    recent = ranking.last_rows(predictions(spark, d).where("model = 'rsi'"), 10)
-    return rounded(scoring.signal_statistics(recent))
+    """The last ten signals of every model."""
+    by_model = Layout(keys=("model",), ties=("series_id",))
+    return rounded(scoring.signal_statistics(ranking.last_rows_per_series(predictions(spark, d), 10, by_model), ["model"]))
 
 
 @query(
@@ -149,11 +148,10 @@ def _(spark, d):
 
 @query(
     "m08_comparison_per_series",
-    f"WITH {PRED},{metrics_sql('series_id', '(SELECT * FROM predictions WHERE model = ' + chr(39) + 'rsi' + chr(39) + ')')} SELECT series_id, tn, fp, fn, tp, {_metric_cols} FROM metrics",
+    f"WITH {PRED},{metrics_sql('model, series_id')} SELECT model, series_id, tn, fp, fn, tp, {_metric_cols} FROM metrics",
 )
 def _(spark, d):
-    one = predictions(spark, d).where("model = 'rsi'")
-    return rounded(met.evaluate(one, ["series_id"]))
+    return rounded(met.evaluate(predictions(spark, d), ["model", "series_id"]))
 
 
 @query(
@@ -227,22 +225,20 @@ def _(spark, d):
     return met.rollback_decision(met.evaluate(predictions(spark, d)), summary, errors)
 
 
-_versions = f"(SELECT *, strftime(date_trunc('week', ts), '%Y-%m-%d') AS version FROM predictions WHERE model = 'rsi')"
+_versions = f"(SELECT *, strftime(date_trunc('week', ts), '%Y-%m-%d') AS version FROM predictions)"
 
 
 @query(
     "m13_version_comparison",
-    f"""WITH {PRED},{metrics_sql('version', _versions)},
-v AS (UNPIVOT (SELECT version, f1, accuracy, roc_auc FROM metrics) ON f1, accuracy, roc_auc INTO NAME metric VALUE value),
-c AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY version) AS previous FROM v)
-SELECT version, metric, {rs('value', 'previous')}, value > previous AS improved FROM c""",
+    f"""WITH {PRED},{metrics_sql('model, version', _versions)},
+v AS (UNPIVOT (SELECT model, version, f1, accuracy, roc_auc FROM metrics) ON f1, accuracy, roc_auc INTO NAME metric VALUE value),
+c AS (SELECT *, lag(value) OVER (PARTITION BY model, metric ORDER BY version) AS previous FROM v)
+SELECT model, version, metric, {rs('value', 'previous')}, value > previous AS improved FROM c""",
 )
 def _(spark, d):
-    """Each week's metrics as a version."""
-    weekly = predictions(spark, d).where("model = 'rsi'").withColumn(
-        "version", F.date_format(drift.week_start(F.col("ts")), "yyyy-MM-dd")
-    )
-    return rounded(met.compare_versions(met.evaluate(weekly, ["version"])))
+    """Each week's metrics as a version of each model."""
+    weekly = predictions(spark, d).withColumn("version", F.date_format(drift.week_start(F.col("ts")), "yyyy-MM-dd"))
+    return rounded(met.compare_versions(met.evaluate(weekly, ["model", "version"]), by=["model"]))
 
 
 # -- signals --------------------------------------------------------------------

@@ -17,6 +17,7 @@ from barwright.catalog.inputs import (
     metrics_sql,
     predictions,
     predictions_sql,
+    bars_by_type,
     prepared_by_type,
     psi_sql,
     r,
@@ -79,7 +80,7 @@ def _(spark, d):
 @query("s04_read_split", f"WITH {split_sql()} SELECT series_id, ts, {rs('close', 'rsi')}, target FROM split_rows WHERE split = 'test'")
 def _(spark, d):
     path = scratch_path(spark, "split")
-    sinks.write_split(prep.time_split(prepared_by_type(spark, d)), path)
+    sinks.write_split(prep.prepare_split(bars_by_type(spark, d)), path)
     return rounded(readers.read_split(spark, path, "test").select("series_id", "ts", "close", "rsi", "target"))
 
 
@@ -90,7 +91,7 @@ SELECT series_id, split, count(*) AS n_rows, sum(target)::BIGINT AS n_up, {r('su
 )
 def _(spark, d):
     path, scaler_path = scratch_path(spark, "split"), scratch_path(spark, "scaler")
-    split = prep.time_split(prepared_by_type(spark, d))
+    split = prep.prepare_split(bars_by_type(spark, d))
     sinks.write_split(split, path)
     sinks.write_scaler(prep.fit_scaler(readers.read_split(spark, path, "train")), scaler_path)
     out = readers.read_split(spark, path).groupBy("series_id", "split").agg(

@@ -22,12 +22,49 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(lam.isNotNull(), p)
 
 
+def ks_p_value_exact(d: Column, n: Column, m: Column) -> Column:
+    """Two-sided exact Kolmogorov-Smirnov p-value of samples of n and m values, for the per-feature result table.
+
+    Under the hypothesis all orders of the pooled sample are equally likely, so a walk over the lattice from (0, 0)
+    to (n, m), drawing without replacement, gives the share of orders whose gap reaches the observed one; what
+    reaches it is taken out and added up, so small values keep their digits. n + m steps over at most n numbers.
+    """
+
+    @F.pandas_udf("double")
+    def reached(gaps: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(gap, n, m):
+            if gap != gap or n != n or m != m or n < 1 or m < 1:
+                return None
+            n, m = int(n), int(m)
+            limit = round(gap * n * m)
+            if limit <= 0:
+                return 1.0
+            i = np.arange(n + 1)
+            alive = np.zeros(n + 1)
+            alive[0], out = 1.0, 0.0
+            for k in range(n + m):  # after k draws, i of them from the first sample
+                left = n + m - k
+                stay = alive * np.clip(m - (k - i), 0, m) / left
+                stay[1:] += alive[:-1] * (n - i[:-1]) / left
+                hit = np.abs(i * m - (k + 1 - i) * n) >= limit
+                out += stay[hit].sum()
+                stay[hit] = 0.0
+                alive = stay
+            return min(out, 1.0)
+
+        return pd.Series([one(*x) for x in zip(gaps, firsts, seconds)], dtype="float64")
+
+    return reached(d.cast("double"), n.cast("double"), m.cast("double"))
+
+
 def welch_p_value(t: Column, df: Column) -> Column:
     """Two-sided Student t p-value, evaluated on the per-feature result table only."""
 
     @F.pandas_udf("double")
     def two_sided(t_values: pd.Series, df_values: pd.Series) -> pd.Series:
-        from math import erfc, exp, lgamma, log, log1p, sqrt
+        from math import erfc, exp, lgamma, log, log1p, nan, sqrt
 
         def fraction(a, b, x):
             # Continued fraction of the incomplete beta function, modified Lentz form.
@@ -45,8 +82,8 @@ def welch_p_value(t: Column, df: Column) -> Column:
                     c = c if abs(c) > tiny else tiny
                     h *= c * d
                 if abs(c * d - 1.0) < 1e-15:
-                    break
-            return h
+                    return h
+            return nan  # not settled: no value rather than a wrong one
 
         def one(t_value, v):
             if t_value != t_value or v != v or v <= 0:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from barwright.functions.pvalues import ks_p_value, welch_p_value
+from barwright.functions.pvalues import ks_p_value, ks_p_value_exact, welch_p_value
 from barwright.functions.rules import as_value, drift_action, drift_severity, psi_label
 from barwright.operators.ordered import RANGE, exact_quantiles, range_parts
 from barwright.operators.profile import moments
@@ -28,6 +28,8 @@ from barwright.session import materialize
 BINS = 10
 EMPTY_SHARE = 0.0001
 MIN_ROWS = 10
+#: Values on either side up to which the KS p-value is exact; its cost is the product of both sides for each result row.
+EXACT_KS = 100
 
 # Default thresholds, and the named presets.
 DEFAULT_THRESHOLDS = {"ks": 0.05, "psi": 0.1, "ttest": 0.05}
@@ -196,11 +198,19 @@ def ks_drift(
     standardize: bool = True,
     by: str | None = None,
     pair: DataFrame | None = None,
+    exact_up_to: int = EXACT_KS,
 ) -> DataFrame:
     """Each side is standardised by its own mean and deviation unless told otherwise,
-    so the default reacts to a change of shape, not of place or scale."""
+    so the default reacts to a change of shape, not of place or scale.
+
+    The p-value is exact where neither side has more than ``exact_up_to`` values, else asymptotic.
+    """
     d = ks_statistic(reference, current, features, standardize, by, pair)
+    small = F.greatest("n_ref", "n_cur") <= exact_up_to
     p = ks_p_value(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
+    if exact_up_to:
+        gap = F.when(small, F.col("statistic"))
+        p = F.when(small, ks_p_value_exact(gap, F.col("n_ref"), F.col("n_cur"))).otherwise(p)
     return d.withColumn("p_value", p).withColumn("is_drift", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
 
 
@@ -335,27 +345,29 @@ def _reference_bins_per_group(
 ) -> DataFrame:
     """Reference counts for each group's own edges.
 
-    The reference is cut once at the edges of all groups together (a row per
-    feature holding the sorted edges) and counted; the few counted cells are
-    then dealt to the groups' bins.
+    Counted reference values and all groups' cuts are put in one order, in range parts; the running count at a cut
+    is what lies below it, and a bin holds the difference of two cuts. Work grows with values plus cuts, not with
+    their product, and no row holds all cuts.
     """
     width = F.col("hi") - F.col("lo")
-    inner = [F.col("lo") + width * F.lit(float(i)) / F.lit(float(bins)) for i in range(1, bins)]
-    cuts = edges.withColumn("cut", F.explode(F.array(*inner))).groupBy("feature").agg(
-        F.array_sort(F.collect_set("cut")).alias("cuts")
-    )
-    long = _long(reference, features, None).drop("grp")
-    cells = (
-        long.join(cuts, "feature")
-        .groupBy("feature", F.size(F.filter("cuts", lambda c: c <= F.col("value"))).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
-    )
-    return (
-        cells.join(edges, "feature")
-        .withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
-        .groupBy("grp", "feature", "bin")
-        .agg(F.sum("n").alias("n"))
+    inner = [F.struct(F.lit(i).alias("i"), (F.col("lo") + width * F.lit(float(i)) / F.lit(float(bins))).alias("value")) for i in range(1, bins)]
+    cuts = edges.select("grp", "feature", F.explode(F.array(*inner)).alias("c")).select("feature", "c.value", F.lit(0).cast("long").alias("n"), "grp", "c.i")
+    counted = _long(reference, features, None).drop("grp").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None)
+    rows = counted.select("feature", "value", "n", none.cast("string").alias("grp"), none.cast("int").alias("i")).unionByName(cuts)
+    parts = materialize(range_parts(rows, ["feature"], "value"), "cut_parts")
+    # A value that equals a cut opens the upper bin, so the cut comes first.
+    inside = Window.partitionBy("feature", RANGE).orderBy("value", F.col("i").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("feature").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("feature", RANGE).agg(F.sum("n").alias("m"))
+    starts = totals.select("feature", RANGE, F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("feature")).alias("all"))
+    placed = parts.withColumn("upto", F.sum("n").over(inside)).where("i IS NOT NULL").join(starts, ["feature", RANGE])
+    below = placed.groupBy("grp", "feature").agg(
+        F.sort_array(F.collect_list(F.struct("i", (F.col("before") + F.col("upto")).alias("below")))).alias("cuts"), F.max("all").alias("all")
     )
+    upto = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.below"), F.array("all"))
+    held = below.select("grp", "feature", upto.alias("upto")).select("grp", "feature", "upto", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return held.select("grp", "feature", "bin", (F.get("upto", F.col("bin") + 1) - F.get("upto", F.col("bin"))).alias("n"))
 
 
 def psi_drift(

@@ -10,11 +10,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql.window import Window, WindowSpec
 
 from barwright.functions.rolling import roll
 from barwright.functions.rules import ratio
-from barwright.operators.layout import Layout, core_rows, with_halo
+from barwright.operators.layout import Layout, _renamed, core_rows, slice_table, stored_rows, with_halo
+from barwright.session import materialize
 from barwright.schema import INDICATORS
 
 RSI_PERIOD = ATR_PERIOD = 14
@@ -157,6 +158,7 @@ def add_indicators(
     names: Iterable[str] = INDICATORS,
     layout: Layout = Layout(),
     label: bool = False,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Bars plus the named indicators and, if asked for, the ``target`` label.
 
@@ -165,7 +167,7 @@ def add_indicators(
     names = list(names)
     w = layout.window()
     back = max([0, *(SHORT_LOOKBACK.get(n, LOOKBACK) for n in names)])
-    if not back and not label:
+    if not (back or label or keep_bucket):
         every = indicator_columns()
         return bars.select(*bars.columns, *[every[n].alias(n) for n in names])
     rows = with_halo(bars, layout, back=back, ahead=1 if label else 0)
@@ -177,7 +179,7 @@ def add_indicators(
         rows = rows.withColumn("__prev_delta", F.col("close") - F.col("__prev")).withColumns(rolled)
     every = indicator_columns()
     columns = [every[n].alias(n) for n in names] + (["target"] if label else [])
-    return core_rows(rows.select(*bars.columns, *columns, "__bucket", "__core"))
+    return core_rows(rows.select(*bars.columns, *columns, "__bucket", "__core"), keep_bucket)
 
 
 def add_target(bars: DataFrame, layout: Layout = Layout(), drop_last: bool = False) -> DataFrame:
@@ -268,79 +270,165 @@ def add_declared_features(
 EMA_SPANS = (5, 10, 20, 12, 26)
 SIGNAL_SPAN = 9
 
+EMA_COLUMNS = [*[f"ema_{n}" for n in EMA_SPANS], "macd", "macd_signal"]
 
-EMA_STATES = [*[f"ema_{n}" for n in EMA_SPANS], "macd_signal"]
-
-
-def _ema_path(close, start: dict[str, float] | None):
-    """All averages along one stretch of closes, from given states or from its first close."""
-    import pandas as pd
-
-    def average(values, span: int, name: str):
-        if start is not None:
-            values = pd.concat([pd.Series([start[name]]), values])
-        found = values.ewm(span=span, adjust=False, ignore_na=True).mean()
-        return (found if start is None else found.iloc[1:]).to_numpy()
-
-    close = pd.Series(close.to_numpy(dtype=float))
-    out = pd.DataFrame({f"ema_{n}": average(close, n, f"ema_{n}") for n in EMA_SPANS})
-    out["macd"] = out["ema_12"] - out["ema_26"]
-    out["macd_signal"] = average(out["macd"], SIGNAL_SPAN, "macd_signal")
-    return out
 
+def _scan(x, alpha: float, starts, states):
+    """Exponential averages of ``x`` along segments that begin at ``starts``, all segments at once.
 
-def add_ema(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    ``states`` holds what each segment begins with; where it is missing the first value does. A segment longer
+    than a few steps is taken 32 steps at a time: within them the recursion is a running sum of scaled values.
+    """
+    import numpy as np
+
+    out = np.empty(len(x))
+    lengths = np.diff(np.append(starts, len(x)))
+    fresh = np.isnan(states)
+    state = np.where(fresh, np.nan, states)
+    keep = 1.0 - alpha
+    decay = keep ** np.arange(1, 33)
+    done = np.zeros(len(starts), np.int64)
+    live = np.flatnonzero(lengths)
+    if len(live):
+        first = starts[live]
+        state[live] = np.where(fresh[live], x[first], state[live])
+    while len(live):
+        width = int(min(32, (lengths[live] - done[live]).max()))
+        at = (starts[live] + done[live])[:, None] + np.arange(width)
+        inside = np.arange(width) < (lengths[live] - done[live])[:, None]
+        part = np.where(inside, x[np.minimum(at, len(x) - 1)], 0.0)
+        sums = np.cumsum(part * (alpha / decay[:width]), axis=1)
+        found = decay[:width] * (state[live][:, None] + sums)
+        out[at[inside]] = found[inside]
+        count = np.minimum(lengths[live] - done[live], width)
+        state[live] = found[np.arange(len(live)), count - 1]
+        done[live] += count
+        live = live[done[live] < lengths[live]]
+    return out, state
+
+
+def _averages(close, starts, states):
+    """(columns of EMA_COLUMNS, end states per segment) of closes in segments; missing closes change nothing.
+
+    ``states`` has a row per segment and a column per average, the signal last; NaN where nothing came before.
+    """
+    import numpy as np
+
+    n, k = len(close), len(EMA_SPANS)
+    segment = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    known = ~np.isnan(close)
+    upto = np.cumsum(known)
+    before = (upto - known)[starts] if n else np.zeros(0, np.int64)
+    seen = upto - before[segment]  # known closes of the segment so far
+    x, ends = close[known], np.empty((len(starts), k + 1))
+    compact = np.append(before, upto[-1] if n else 0)[:-1]
+    out = np.full((k + 2, n), np.nan)
+    for i, span in enumerate(EMA_SPANS):
+        y, ends[:, i] = _scan(x, 2.0 / (span + 1), compact, states[:, i])
+        held = states[segment, i]
+        out[i] = np.where(seen > 0, np.append(y, np.nan)[np.maximum(upto - 1, 0)], held) if n else out[i]
+    out[k] = out[EMA_SPANS.index(12)] - out[EMA_SPANS.index(26)]
+    told = ~np.isnan(out[k])
+    counts = np.cumsum(told)
+    s, ends[:, k] = _scan(out[k][told], 2.0 / (SIGNAL_SPAN + 1), (counts - told)[starts] if n else np.zeros(0, np.int64), states[:, k])
+    out[k + 1][told] = s
+    return out, ends
+
+
+def _effects(close, starts):
+    """What each segment does to the states before it: (first closes' end states, base, what is left of each, signal's shares)."""
+    import numpy as np
+
+    n, k = len(close), len(EMA_SPANS)
+    none, zero = np.full((len(starts), k + 1), np.nan), np.zeros((len(starts), k + 1))
+    first = _averages(close, starts, none)[1]
+    base = _averages(close, starts, zero)[1]
+    silent = np.where(np.isnan(close), np.nan, 0.0)
+    left = _averages(silent, starts, np.ones((len(starts), k + 1)) * np.append(np.ones(k), 0.0))[1][:, :k]
+    shares = []
+    for i in (EMA_SPANS.index(12), EMA_SPANS.index(26), k):
+        one = zero.copy()
+        one[:, i] = 1.0
+        shares.append(_averages(silent, starts, one)[1][:, k])
+    return first, base, left, np.stack(shares, axis=1) if n else np.zeros((0, 3))
+
+
+def add_ema(bars: DataFrame, layout: Layout = Layout(), pack_rows: int = 50_000) -> DataFrame:
     """Exponential averages (seeded with the first close), MACD and its signal.
 
-    The recursion is linear, so what a bucket does to the states is known without them: its end states from
-    zero, and the share of each start state that is left. These few numbers per bucket are chained, and each
-    bucket then runs from its true start. No row is copied, and a run of missing closes may have any length.
+    The recursion is linear, so what a bucket does to the states is known without them: its end states from zero,
+    and the share of each start state that is left. For series of several buckets these few numbers are chained,
+    and each bucket then runs from its true start; a series of one bucket needs neither. Buckets are packed, many
+    to a group of about ``pack_rows`` rows, and all of a pack are scanned at once. No row is copied, and a run of
+    missing closes may have any length.
     """
+    import numpy as np
     import pandas as pd
 
     keys, order = list(layout.keys), layout.order()
-    rows = bars.select(*keys, *order, "close").withColumn("__bucket", layout.bucket_of())
+    rows = stored_rows(bars.select(*keys, *order, "close"), layout)
+    slices = slice_table(rows, layout)
+    total = slices.agg(F.sum(F.col("__end") - F.col("__start"))).first()[0] or 0
+    packs = max(1, -(-total // pack_rows))
     at = [*keys, "__bucket"]
+    several = F.col("__total") > F.max("__end").over(Window.partitionBy(*at))
+    places = slices.select(*keys, "__slice", "__bucket", (several | (F.col("__bucket") > 0)).alias("__several"))
+    places, on = _renamed(materialize(places, "places"), layout, "__slice")
+    pack = F.pmod(F.xxhash64(*at), F.lit(packs)).alias("__pack")
+    rows = rows.withColumn("__slice", layout.slice_of()).join(places, on).select(*keys, *order, "close", "__bucket", "__several")
+    rows = rows.select("*", pack)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     heads = ", ".join(f"`{c}` {types[c]}" for c in at)
-    zero = dict.fromkeys(EMA_STATES, 0.0)
+    ends = [f"s{i}" for i in range(len(EMA_SPANS) + 1)]
+    k = len(EMA_SPANS)
+
+    def in_order(pdf):
+        """The pack's rows by series, bucket and time, and where each bucket begins."""
+        pdf = pdf.sort_values([*at, *order], kind="stable", na_position="first").reset_index(drop=True)
+        begins = pdf[at].ne(pdf[at].shift()) & ~(pdf[at].isna() & pdf[at].shift().isna())
+        found = begins.any(axis=1).to_numpy()
+        if len(found):
+            found[0] = True
+        return pdf, np.flatnonzero(found)
 
     def effect(pdf):
-        close = pdf.sort_values(order, kind="stable")["close"].astype(float)
-        silent = close * 0.0
-
-        def end(closes, start):
-            return _ema_path(closes, start).iloc[-1]
-
-        first, base = end(close, None), end(close, zero)
-        left = end(silent, {**dict.fromkeys(EMA_STATES, 1.0), "macd_signal": 0.0})
-        row = {c: pdf[c].iloc[0] for c in at}
-        row |= {f"first_{n}": first[n] for n in EMA_STATES} | {f"base_{n}": base[n] for n in EMA_STATES}
-        row |= {f"left_{n}": left[n] for n in EMA_STATES[:-1]}
-        row |= {f"signal_{n}": end(silent, {**zero, n: 1.0})["macd_signal"] for n in ("ema_12", "ema_26", "macd_signal")}
-        return pd.DataFrame([row])
+        pdf, starts = in_order(pdf)
+        first, base, left, shares = _effects(pdf["close"].to_numpy(dtype=float), starts)
+        out = pdf.loc[starts, at].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(np.hstack([first, base, left, shares]), columns=numbers)], axis=1)
 
     def chain(pdf):
-        pdf = pdf.sort_values("__bucket")
-        state, out = None, []
-        for _, r in pdf.iterrows():
-            out.append([r[c] for c in at] + ([None] * len(EMA_STATES) if state is None else [state[n] for n in EMA_STATES]))
-            if state is None:
-                state = {n: r[f"first_{n}"] for n in EMA_STATES} if r["first_ema_5"] == r["first_ema_5"] else None
+        pdf = pdf.sort_values(at, kind="stable", na_position="first")
+        states = np.full((len(pdf), k + 1), np.nan)
+        values, names = pdf[numbers].to_numpy(dtype=float), pdf[keys].to_numpy(dtype=object)
+        missing = pdf[keys].isna().to_numpy()
+        for i in range(1, len(pdf)):
+            if not all(a == b or (x and y) for a, b, x, y in zip(names[i], names[i - 1], missing[i], missing[i - 1])):
+                continue
+            first, base, left, shares = np.split(values[i - 1], [k + 1, 2 * k + 2, 3 * k + 2])
+            state = states[i - 1]
+            if np.isnan(state[0]):
+                states[i] = first
             else:
-                signal = r["base_macd_signal"] + sum(r[f"signal_{n}"] * state[n] for n in ("ema_12", "ema_26", "macd_signal"))
-                state = {n: r[f"base_{n}"] + r[f"left_{n}"] * state[n] for n in EMA_STATES[:-1]} | {"macd_signal": signal}
-        return pd.DataFrame(out, columns=[*at, *EMA_STATES])
-
-    def run(pdf, starts):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        start = starts.iloc[0][EMA_STATES].astype(float).to_dict() if len(starts) else None
-        known = start is not None and start["ema_5"] == start["ema_5"]
-        return pd.concat([pdf, _ema_path(pdf["close"], start if known else None)], axis=1)
-
-    numbers = [*[f"{p}_{n}" for p in ("first", "base") for n in EMA_STATES], *[f"left_{n}" for n in EMA_STATES[:-1]], *[f"signal_{n}" for n in ("ema_12", "ema_26", "macd_signal")]]
-    effects = rows.groupBy(*at).applyInPandas(effect, heads + "".join(f", {n} double" for n in numbers))
-    starts = effects.groupBy(*keys).applyInPandas(chain, heads + "".join(f", {n} double" for n in EMA_STATES))
-    names = [*[f"ema_{n}" for n in EMA_SPANS], "macd", "macd_signal"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + "".join(f", {n} double" for n in names)
-    return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInPandas(run, schema).drop("__bucket")
+                states[i, :k] = base[:k] + left * state[:k]
+                states[i, k] = base[k] + shares @ state[[EMA_SPANS.index(12), EMA_SPANS.index(26), k]]
+        return pd.concat([pdf[at].reset_index(drop=True), pd.DataFrame(states, columns=ends)], axis=1)
+
+    def run(pdf, starting):
+        pdf, starts = in_order(pdf)
+        states = np.full((len(starts), k + 1), np.nan)
+        if len(starting):
+            where = pdf.loc[starts, at].reset_index(drop=True)
+            where["__at"] = range(len(where))
+            found = where.merge(starting[[*at, *ends]], on=at, how="inner")
+            states[found["__at"].to_numpy()] = found[ends].to_numpy(dtype=float)
+        out, _ = _averages(pdf["close"].to_numpy(dtype=float), starts, states)
+        return pd.concat([pdf, pd.DataFrame(out.T, columns=EMA_COLUMNS)], axis=1)
+
+    numbers = [f"{p}{i}" for p, m in (("f", k + 1), ("b", k + 1), ("l", k), ("h", 3)) for i in range(m)]
+    effects = rows.where("__several").groupBy("__pack").applyInPandas(effect, heads + "".join(f", {n} double" for n in numbers))
+    links = effects.withColumn("__pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+    starts = links.groupBy("__pack").applyInPandas(chain, heads + "".join(f", {n} double" for n in ends))
+    starts = materialize(starts.withColumn("__pack", F.pmod(F.xxhash64(*at), F.lit(packs))), "states")
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + "".join(f", {n} double" for n in EMA_COLUMNS)
+    return rows.groupBy("__pack").cogroup(starts.groupBy("__pack")).applyInPandas(run, schema).drop("__bucket", "__several", "__pack")

@@ -197,14 +197,14 @@ def rollback_decision(metrics: DataFrame, dashboard_summary: DataFrame, errors:
     )
 
 
-def compare_versions(metrics: DataFrame, names: list[str] = ["f1", "accuracy", "roc_auc"], version: str = "version") -> DataFrame:
-    """Each metric of a version beside the previous version's; a row per version and metric.
+def compare_versions(metrics: DataFrame, names: list[str] = ["f1", "accuracy", "roc_auc"], version: str = "version", by: list[str] = ()) -> DataFrame:
+    """Each metric of a version beside the previous version's; a row per version and metric (and ``by``).
 
     Versions are ordered by their first number (9 before 10, v2 before v10), then as text.
     """
     number = F.try_to_number(F.regexp_extract(F.col(version).cast("string"), r"(\d{1,18})", 1), F.lit("9" * 18))
-    w = Window.partitionBy("metric").orderBy(number.asc_nulls_first(), F.col(version).cast("string"))
-    long = metrics.unpivot(version, names, "metric", "value")
+    w = Window.partitionBy(*by, "metric").orderBy(number.asc_nulls_first(), F.col(version).cast("string"))
+    long = metrics.unpivot([*by, version], names, "metric", "value")
     return long.withColumn("previous", F.lag("value").over(w)).withColumn(
         "improved", F.col("value") > F.col("previous")
     )

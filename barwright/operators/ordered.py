@@ -1,10 +1,11 @@
-"""Ordered (prefix) aggregates and exact quantiles without one-task groups."""
+"""Range parts for prefix aggregates, and exact quantiles without one-task groups."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from barwright.functions.rules import as_value
 from barwright.session import materialize
@@ -28,89 +29,81 @@ def exact_quantiles(
     features: list[str],
     probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
     accuracy: int = 10000,
+    most: int = 10_000,
 ) -> DataFrame:
     """(feature, n, mean, std, min, max, q0, q1, ...): moments and exact, linearly
     interpolated quantiles.
 
-    A whole column is never sorted or buffered.  One pass takes the moments and
-    approximate marks that bracket every wanted rank, a counting pass confirms
-    the brackets (one that fails is widened to the full range), and only the
-    values inside are ranked.  ``df`` is read three times, so pass a stored table.
+    No column is sorted, ranked or buffered. One pass takes the moments and approximate marks around every wanted
+    rank. A counting pass tells what lies below the marks and between them; a bracket that misses its rank is
+    widened again. Brackets that still hold more than ``most`` values get marks of their own, inside them, and are
+    counted again: each turn leaves a fixed small share, so a few turns do for any size, and copies of one value
+    never count as many. The values left, at most ``most`` and the two marks, are one short array per rank.
+    ``df`` is read twice, and twice more a turn, so pass a stored table.
     """
     k = len(probabilities)
     margin = 4.0 / accuracy
-    lo_p = [max(0.0, p - margin) for p in probabilities]
-    hi_p = [min(1.0, p + margin) for p in probabilities]
 
-    def bracket(c: str) -> Column:
+    def summary(c: str) -> Column:
         x = as_value(c)
         return F.struct(
-            F.count(x).alias("n"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("lo"),
-            F.max(x).alias("hi"),
-            F.percentile_approx(x, [*lo_p, *hi_p], accuracy).alias("marks"),
-        ).alias(c)
-
-    every = materialize(
-        df.agg(*[bracket(c) for c in features]).unpivot([], features, "feature", "b").select("feature", "b.*"),
-        "brackets",
-    )
-    brackets = every.where("n > 0")
-    long = df.select([as_value(c).alias(c) for c in features]).unpivot([], features, "feature", "value")
-    long = long.where("value is not null")
-
-    rank = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
-    tally = (
-        long.join(brackets, "feature")
-        .groupBy("feature")
-        .agg(
-            *[F.count_if(F.col("value") < F.col("marks")[i]).alias(f"below{i}") for i in range(k)],
-            *[F.count_if(F.col("value") <= F.col("marks")[k + i]).alias(f"upto{i}") for i in range(k)],
-        )
-    )
-
-    def confirmed(i: int) -> Column:
-        need = F.least(F.floor(rank[i]) + 1, F.col("n") - 1)
-        return (F.col(f"below{i}") <= F.floor(rank[i])) & (F.col(f"upto{i}") > need)
-
-    targets = (
-        brackets.join(tally, "feature")
-        .select(
-            "feature",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("q"),
-                            rank[i].alias("rank"),
-                            F.when(confirmed(i), F.col("marks")[i]).otherwise(F.col("lo")).alias("from"),
-                            F.when(confirmed(i), F.col("marks")[k + i]).otherwise(F.col("hi")).alias("to"),
-                            F.when(confirmed(i), F.col(f"below{i}")).otherwise(F.lit(0)).alias("below"),
-                        )
-                        for i in range(k)
-                    ]
-                )
-            ).alias("t"),
-        )
-        .select("feature", "t.*")
-    )
-    inside = (
-        long.join(targets, "feature")
-        .where((F.col("value") >= F.col("from")) & (F.col("value") <= F.col("to")))
-        .groupBy("feature", "q", "rank", "below", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    w = Window.partitionBy("feature", "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.col("below") + F.sum("n").over(w))
-    lower = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("value")))
-    upper = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value")))
-    part = F.first("rank") - F.floor(F.first("rank"))
-    picked = ranked.groupBy("feature", "q").agg((lower + (upper - lower) * part).alias("v"))
+            F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+            F.percentile_approx(x, [*[max(0.0, p - margin) for p in probabilities], *[min(1.0, p + margin) for p in probabilities]], accuracy).alias("marks"),
+        ).alias(c)
+
+    every = df.agg(*[summary(c) for c in features]).unpivot([], features, "feature", "b").select("feature", "b.*")
+    every = materialize(every, "summaries")
+    long = df.select([as_value(c).alias(c) for c in features]).unpivot([], features, "feature", "value").where("value is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p"), F.col("marks")[i].alias("low"), F.col("marks")[k + i].alias("high")) for i, p in enumerate(probabilities)]))
+    open_ = every.where("n > 0").select("feature", "n", F.col("min").alias("from"), F.col("max").alias("to"), each.alias("t"))
+    open_ = open_.select("feature", "n", "from", "to", "t.*").withColumn("rank", F.col("p") * (F.col("n") - 1))
+    done = []
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    while True:
+        tally = long.join(open_, "feature").groupBy("feature", "q").agg(
+            F.count_if(value < low).alias("below"), F.count_if(value <= high).alias("upto"), F.count_if((value > low) & (value < high)).alias("inside"),
+            F.count_if(value < F.col("from")).alias("outside"), F.count_if((value > F.col("from")) & (value < F.col("to"))).alias("all"),
+        )
+        counted = materialize(open_.join(tally, ["feature", "q"]), "brackets")
+        met = (F.col("below") <= F.floor("rank")) & (F.col("upto") > F.ceil("rank"))
+        counted = counted.select(
+            "feature", "q", "p", "n", "rank", F.when(met, low).otherwise(F.col("from")).alias("from"), F.when(met, high).otherwise(F.col("to")).alias("to"),
+            F.when(met, F.col("below")).otherwise(F.col("outside")).alias("below"), F.when(met, F.col("inside")).otherwise(F.col("all")).alias("left"),
+        )
+        done.append(counted.where(F.col("left") <= most).select("feature", "q", "rank", "from", "to", "below"))
+        large = materialize(counted.where(F.col("left") > most), "large_brackets")
+        if not large.take(1):
+            break
+        # The bracket's inner values with the marks around them; ranks count from the inner values' own first one.
+        inner = long.join(large, "feature").where((value > F.col("from")) & (value < F.col("to")))
+        size = F.count(F.lit(1))
+        marks = inner.groupBy("feature", "q").agg(size.alias("m"), F.percentile_approx("value", F.array(*[F.lit(i / 1000.0) for i in range(1001)]), 10_000).alias("marks"))
+        at_from = long.join(large, "feature").groupBy("feature", "q").agg(F.count_if(value == F.col("from")).alias("equal"))
+        near = large.join(marks, ["feature", "q"]).join(at_from, ["feature", "q"])
+        place = (F.col("rank") - F.col("below") - F.col("equal")) / F.col("m") * 1000.0
+        first, last = F.floor(place - 1.5).cast("int"), F.ceil(place + 1.5).cast("int")
+        mark = lambda i: F.get("marks", F.least(F.greatest(i, F.lit(0)), F.lit(1000)))
+        below_all, above_all = F.when(first < 0, F.col("from")), F.when(last > 1000, F.col("to"))
+        open_ = materialize(near.select("feature", "q", "p", "n", "rank", "from", "to", F.coalesce(below_all, mark(first)).alias("low"), F.coalesce(above_all, mark(last)).alias("high")), "marks")
+
+    targets = reduce(DataFrame.union, done)
+    inside = long.join(targets, "feature").where((value >= F.col("from")) & (value <= F.col("to")))
+    counts = inside.groupBy("feature", "q", "rank", "below", "value").agg(F.count(F.lit(1)).alias("n"))
+    arrays = counts.groupBy("feature", "q", "rank", "below").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("values"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.col("below").alias("upto"), none.alias("lower"), none.alias("upper"))
+
+    def step(state: Column, item: Column) -> Column:
+        upto = state["upto"] + item["n"]
+        lower = F.coalesce(state["lower"], F.when(upto > F.floor("rank"), item["value"]))
+        upper = F.coalesce(state["upper"], F.when(upto > F.ceil("rank"), item["value"]))
+        return F.struct(upto.alias("upto"), lower.alias("lower"), upper.alias("upper"))
+
+    found = arrays.select("feature", "q", "rank", F.aggregate("values", start, step).alias("s"))
+    part = F.col("rank") - F.floor("rank")
+    picked = found.select("feature", "q", (F.col("s.lower") + (F.col("s.upper") - F.col("s.lower")) * part).alias("v"))
     wide = picked.groupBy("feature").agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(k)])
-    summary = every.select("feature", "n", "mean", "std", F.col("lo").alias("min"), F.col("hi").alias("max"))
-    return summary.join(wide, "feature", "left")
+    return every.drop("marks").join(wide, "feature", "left")
 
 
 def approximate_quantiles(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.operators.indicators import add_indicators
-from barwright.operators.layout import Layout, with_row_index
+from barwright.operators.layout import Layout, numbered_by_ranges, numbered_once, with_row_index
 from barwright.schema import INDICATORS, MODEL_FEATURES
 from barwright.session import materialize
 
@@ -81,18 +81,27 @@ def prepare(
     return drop_null_rows(add_indicators(bars, names, layout, label=True))
 
 
-def time_split(prepared: DataFrame, test_size: float = 0.2, layout: Layout = Layout()) -> DataFrame:
-    """First rows of each series are ``train``, the last ceil(test_size * n) ``test``.
+def prepare_split(bars: DataFrame, test_size: float = 0.2, layout: Layout = Layout(), names: list[str] = INDICATORS) -> DataFrame:
+    """``time_split`` of ``prepare``, with the feature rows written once and numbered as they are written."""
+    rows = drop_null_rows(add_indicators(bars, names, layout, label=True, keep_bucket=True))
+    return _with_split(numbered_once(rows, layout), test_size)
 
-    Positions need the rows twice (to count, then to number), so the features
-    are written once instead of being computed for each pass.
-    """
-    indexed = with_row_index(materialize(prepared, "prepared"), layout, index="row_id", total="n_rows")
+
+def _with_split(indexed: DataFrame, test_size: float) -> DataFrame:
     n_test = F.ceil(F.lit(test_size) * F.col("n_rows"))
     is_test = F.col("row_id") >= F.col("n_rows") - n_test
     return indexed.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
+def time_split(prepared: DataFrame, test_size: float = 0.2, layout: Layout = Layout()) -> DataFrame:
+    """First rows of each series are ``train``, the last ceil(test_size * n) ``test``.
+
+    Positions need the rows twice (to count, then to number), so they are stored first unless the layout says
+    that they are. From bars, ``prepare_split`` writes them once.
+    """
+    return _with_split(with_row_index(prepared, layout, index="row_id", total="n_rows"), test_size)
+
+
 def fit_scaler(df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
     """(feature, mean, std): population deviation, 1 where a column is constant."""
     aggs = [F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]
@@ -163,6 +172,16 @@ def with_class_weight(df: DataFrame, label: str = "target", out: str = "weight")
     return df.withColumn(out, F.try_divide(w["n"], own * 2))
 
 
+def with_class_weight_by(df: DataFrame, by: list[str], label: str = "target", out: str = "weight") -> DataFrame:
+    """The balanced weight inside each group of ``by``; the counts joined back are two rows a group."""
+    if not by:
+        return with_class_weight(df, label, out)
+    pair = df.groupBy(*by, label).agg(F.count(F.lit(1)).cast("double").alias("__own"))
+    whole = pair.groupBy(*by).agg(F.sum("__own").alias("__all"))
+    weights = pair.join(whole, by).withColumn(out, F.try_divide(F.col("__all"), F.col("__own") * 2)).drop("__own", "__all")
+    return df.join(weights, [*by, label])
+
+
 def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """A repeatable sample: a row is in or out by the hash of its own key.
 
@@ -180,16 +199,8 @@ def stratified_folds(df: DataFrame, n_folds: int, label: str = "target", layout:
     Class c takes, for fold i, as many rows as the positions of its block in the
     label-sorted table that are congruent to i, which spreads the remainders.
     """
-    by_class = Layout(
-        keys=(label,),
-        ts=layout.ts,
-        ties=tuple(layout.keys) + tuple(layout.ties),
-        bar_seconds=layout.bar_seconds,
-        slice_bars=1,
-        slices_per_bucket=1,
-    )
     df = materialize(df, "folds")
-    indexed = with_row_index(df, by_class, index="__pos", total="__n_class")
+    indexed = numbered_by_ranges(df, [label], [layout.ts, *layout.keys, *layout.ties], "__pos", "__n_class")
     n_neg = df.agg(F.count_if(F.col(label) == 0).alias("z")).scalar()
     offset = F.when(F.col(label) == 0, F.lit(0)).otherwise(n_neg)
 

@@ -64,9 +64,9 @@ def next_period(latest: DataFrame) -> DataFrame:
     )
 
 
-def signal_statistics(recent: DataFrame) -> DataFrame:
-    """Counts of both directions and mean, min, max probability over the given rows."""
-    return recent.agg(
+def signal_statistics(recent: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Counts of both directions and mean, min, max probability over the given rows, or each group of them."""
+    return recent.groupBy(*by).agg(
         F.count_if(F.col("pred") == 1).alias("n_up"),
         F.count_if(F.col("pred") == 0).alias("n_down"),
         F.avg("score").alias("mean_score"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barwright.operators.layout import Layout
 from barwright.operators.metrics import evaluate, quality_gate
 from barwright.operators.models import fit, predict
-from barwright.operators.prepare import fit_scaler, prepare, time_split
+from barwright.operators.prepare import fit_scaler, prepare_split
 from barwright.schema import MODEL_FEATURES
 from barwright.session import materialize
 
@@ -35,8 +35,8 @@ def train_and_evaluate(
     fit_on: str = "train",
     layout: Layout = Layout(),
 ) -> TrainingRun:
-    """Fits iterate over the split table, so it is written once and read from there."""
-    split = materialize(time_split(prepare(bars, layout), test_size, layout), "split")
+    """Fits iterate over the split table, which is written once, as its rows are numbered."""
+    split = prepare_split(bars, test_size, layout)
     train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
     scaler = materialize(fit_scaler(train if fit_on == "train" else split, features), "scaler")
     models = {name: fit(train, estimator, scaler, features) for name, estimator in estimators.items()}

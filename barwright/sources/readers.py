@@ -58,34 +58,37 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, rename: dict[str, str] | None = None, corrupt: str | None = None) -> DataFrame:
+def read_csv_by_name(
+    spark: SparkSession, path: str, schema: T.StructType, rename: dict[str, str] | None = None, corrupt: str | None = None, extra_type: str | None = None
+) -> DataFrame:
     """CSV columns matched to ``schema`` by the header's names, in any order.
 
-    ``rename`` maps raw to schema names. Columns beyond the schema are kept, as doubles where they hold
-    numbers only, else as text. A schema column that the header lacks is an error. ``corrupt`` names a
+    ``rename`` maps raw to new names; the schema may use either, the result has the new ones. Columns beyond the
+    schema are kept as ``extra_type``; without one they are doubles where they hold numbers only, else text,
+    which takes a pass to find out. A schema column that the header lacks is an error. ``corrupt`` names a
     column for the text of malformed lines, which are NULL otherwise.
     """
     rename = rename or {}
     head = spark.read.option("header", True).csv(path).columns
-    declared = {f.name: f.dataType for f in schema.fields}
     names = {raw: rename.get(raw, raw) for raw in head}
-    missing = [n for n in declared if n not in names.values()]
+    raw_of = {raw: raw for raw in head} | {new: raw for raw, new in names.items()}
+    missing = [f.name for f in schema.fields if f.name not in raw_of]
     if missing:
         raise ValueError(f"the header lacks {missing}; it has {head}")
-    fields = [T.StructField(raw, declared.get(names[raw], T.StringType())) for raw in head]
-    extra = [raw for raw in head if names[raw] not in declared]
+    declared = {raw_of[f.name]: f.dataType for f in schema.fields}
+    fields = [T.StructField(raw, declared.get(raw, T.StringType())) for raw in head]
+    extra = [raw for raw in head if raw not in declared]
     reader = spark.read.option("header", True).option("enforceSchema", False)
     if corrupt:
         fields.append(T.StructField(corrupt, T.StringType()))
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
     df = reader.schema(T.StructType(fields)).csv(path)
-    numeric = set()
-    if extra:
+    kinds = dict.fromkeys(extra, extra_type or "string")
+    if extra and extra_type is None:
         odd = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(f"x{i}") for i, c in enumerate(extra)]).first()
-        numeric = {c for i, c in enumerate(extra) if not odd[i]}
-    plain = [F.col(f"`{c}`").try_cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in extra]
-    told = {v: k for k, v in names.items()}
-    ordered = [F.col(f"`{told[n]}`").alias(n) for n in declared]
+        kinds = {c: "string" if odd[i] else "double" for i, c in enumerate(extra)}
+    plain = [F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in extra]
+    ordered = [F.col(f"`{raw}`").alias(names[raw]) for raw in declared]
     return df.select(*ordered, *plain, *([F.col(corrupt)] if corrupt else []))
 
 
