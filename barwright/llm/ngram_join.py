@@ -5,8 +5,9 @@ of their first ``n - ceil(similarity * n) + 1`` shingles, their prefixes. Sets o
 make up one group. Groups meet on the shingles of their prefixes, pairs of groups are filtered by size and by the
 places of the shared shingle, and only what is left is expanded to members and verified on the whole sets.
 
-The order comes from counts of all shingles of all documents in a table of fixed size (``slots``): any order that
-all sets share gives the same links, a fine one gives fewer candidates. The counts are the only thing broadcast.
+The order comes from counts of all shingles of all documents in a table of ``slots`` bytes (by the size of the
+input, up to a bound): any order that all sets share gives the same links, a fine one gives fewer candidates. These
+counts and a filter of fixed size are all that is broadcast.
 
 Links unite; what counts is which sets hang together. So a bucket (all groups with one shingle in their prefix) of
 more than ``hubs`` members is not paired out: first every member meets one hub, then, where the bucket still holds
@@ -29,7 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import lower_words
 from barwright.llm.components import connected_components
 from barwright.session import materialize
 
@@ -37,34 +37,85 @@ _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FE
 BLOCK = 4096
 DEALT = 4096
 FILTER_BITS = 1 << 23
+#: Most slots of the table of counts, a byte each: what is broadcast, whatever the input.
+MOST_SLOTS = 1 << 25
+PIECE = 1 << 19  # bytes of text that are hashed at once; a longer text is a piece of its own
 
+_BASE = 0x5851F42D4C957F2B  # 3 modulo 8, so its powers have long periods modulo 2**64
+_BACK = pow(_BASE, -1, 1 << 64)
+_CODES = np.random.default_rng(42).integers(1, 1 << 64, 256, dtype=np.uint64)
+_CODES[65:91] = _CODES[97:123]  # A-Z as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
 
-class _WordHashes(dict):
-    """XXH64 of words; starts over when a process has seen very many."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return found
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest piece asked for."""
 
+    up = down = np.ones(0, np.uint64)
 
-_HASHES = _WordHashes()
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up = np.cumprod(np.append(np.uint64(1), np.full(n - 1, _BASE, np.uint64)), dtype=np.uint64)
+            cls.down = np.cumprod(np.append(np.uint64(1), np.full(n - 1, _BACK, np.uint64)), dtype=np.uint64)
+        return cls.up[:n], cls.down[:n]
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending; fewer words make one shingle, none make none."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(len(words) - shingle + 1, 1)
-    z = np.zeros(n, np.uint64)
-    for j in range(min(shingle, len(words))):
-        factor = _FACTORS[j % len(_FACTORS)] ^ (2 * (j // len(_FACTORS)))
-        z += hashes[j : j + n] * np.uint64(factor)
+def _mixed(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.unique(z ^ (z >> np.uint64(29)))
+    return z ^ (z >> np.uint64(29))
+
+
+def _piece_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The sets of texts that lie one after the other in ``data`` (UTF-8), by array operations over all of them.
+
+    A word's hash is a polynomial over random numbers for its bytes, taken from running sums; a shingle's is made
+    of its words' hashes with a factor for each place.
+    """
+    n = len(data)
+    if not n:
+        return [np.zeros(0, np.uint64) for _ in offsets[1:]]
+    up, down = _Powers.of(n + 1)
+    solid = ~_BLANK[data]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets[:-1]] = True
+    starts = np.flatnonzero(solid & (begins[:-1] | np.append(True, ~solid[:-1])))
+    ends = np.flatnonzero(solid & (np.append(begins[1:-1], True) | np.append(~solid[1:], True))) + 1
+    sums = np.append(np.uint64(0), np.cumsum(_CODES[data] * up[:n], dtype=np.uint64))
+    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    firsts = np.searchsorted(starts, offsets)
+    counts = np.diff(firsts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    z = np.zeros(len(words), np.uint64)
+    for j in range(min(shingle, len(words))):
+        factor = np.uint64(_FACTORS[j % len(_FACTORS)] ^ (2 * (j // len(_FACTORS))))
+        same = text[j:] == text[: len(text) - j]  # words beyond a short text add nothing
+        z[: len(words) - j][same] += words[j:][same] * factor
+    z = _mixed(z)
+    many = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
+    return [np.unique(z[a : a + k]) for a, k in zip(firsts[:-1].tolist(), many.tolist())]
+
+
+def shingle_sets(texts: pa.Array, shingle: int = 5) -> list[np.ndarray]:
+    """Hashes of the distinct shingles of each text, ascending; fewer words make one shingle, none make none."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        out += _piece_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], shingle)
+        at = to
+    return out
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()), shingle)[0]
 
 
 def _digest(data: bytes) -> bytes:
@@ -73,41 +124,52 @@ def _digest(data: bytes) -> bytes:
 
 def _batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
-        yield batch.column(0), [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+        yield batch.column(0), shingle_sets(batch.column(1), shingle)
+
+
+def slots_for(docs: DataFrame, text_col: str) -> int:
+    """A quarter as many slots as there are words, about, within fixed bounds."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return min(MOST_SLOTS, max(1 << 16, 1 << (int(size) // 28).bit_length()))
 
 
 def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) -> np.ndarray:
-    """How often the shingles of each slot occur in sets, as eighths of powers of two: one byte a slot.
+    """How often the shingles of each slot occur in sets, on a scale of logarithms: one byte a slot.
 
     Tasks count in bytes (255 at most); their tables are added block by block, in two steps.
     """
-    shift = np.uint64(64 - (slots - 1).bit_length())
+    shift, block = np.uint64(64 - (slots - 1).bit_length()), min(BLOCK, slots)
 
     def count(batches):
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.uint8)
         for _, sets in _batches(batches, shingle):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=slots)
-        low = np.minimum(total, 255).astype(np.uint8).reshape(-1, min(BLOCK, slots))
+            for i in range(0, len(sets), 500):
+                at, n = np.unique(np.concatenate(sets[i : i + 500]) >> shift, return_counts=True)
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + n, 255)
+        low = total.reshape(-1, block)
         used = np.flatnonzero(low.any(axis=1))
-        task = xxhash.xxh32_intdigest(low.tobytes()) % 8
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([task] * len(used), pa.int32()), pa.array([low[i].tobytes() for i in used], pa.binary())], ["block", "task", "counts"])
+        task = xxhash.xxh32_intdigest(total.tobytes()) % 8
+        for part in np.array_split(used, max(1, len(used) // 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([task] * len(part), pa.int32()), pa.array([low[i].tobytes() for i in part], pa.binary())], ["block", "task", "counts"])
+
+    def add(kind, last):
+        def run(pdf):
+            total = sum(np.frombuffer(c, kind).astype(np.int64) for c in pdf["counts"])
+            out = pdf.iloc[:1].copy()
+            held = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8) if last else np.minimum(total, 65535).astype(np.uint16)
+            out["counts"] = [held.tobytes()]
+            return out
 
-    def add(pdf):
-        pdf = pdf.reset_index(drop=True)
-        total = sum(np.frombuffer(c, np.uint8 if len(c) == min(BLOCK, slots) else np.uint32).astype(np.int64) for c in pdf["counts"])
-        out = pdf.iloc[:1].copy()
-        out["counts"] = [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]
-        return out
+        return run
 
     plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
     schema = "block int, task int, counts binary"
-    parts = plain.mapInArrow(count, schema).groupBy("block", "task").applyInPandas(add, schema)
-    rows = parts.groupBy("block").applyInPandas(add, schema).collect()  # slots / 4,096 rows at most
-    total = np.zeros((max(slots // BLOCK, 1), min(BLOCK, slots)), np.int64)
-    for r in rows:
-        total[r.block] = np.frombuffer(r.counts, np.uint32)
-    return np.minimum(np.log2(total.ravel() + 1.0) * 6, 255).astype(np.uint8)
+    parts = plain.mapInArrow(count, schema).groupBy("block", "task").applyInPandas(add(np.uint8, False), schema)
+    out = np.zeros((slots // block, block), np.uint8)
+    for r in parts.groupBy("block").applyInPandas(add(np.uint16, True), schema).toLocalIterator():  # a byte a slot
+        out[r.block] = np.frombuffer(r.counts, np.uint8)
+    return out.ravel()
 
 
 def _signature(hashes: np.ndarray) -> list[int]:
@@ -116,11 +178,12 @@ def _signature(hashes: np.ndarray) -> list[int]:
     return np.frombuffer(np.packbits(odd).tobytes(), ">i8").tolist()
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, slots: int) -> DataFrame:
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, slots: int | None) -> DataFrame:
     """(id, n, content, sig, g, prefix): ``g`` is one for sets of one size and prefix; a task gives each prefix once.
 
     Should two groups ever have one number, they are taken as one: that adds candidates and loses none.
     """
+    slots = slots or slots_for(docs, text_col)
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text_col, shingle, slots))
     shift = np.uint64(64 - (slots - 1).bit_length())
 
@@ -187,7 +250,7 @@ def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> Dat
     return materialize(found.dropDuplicates(["node"]).select("node", "members"), "sets")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slots: int = 1 << 21, hubs: int = 8) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slots: int | None = None, hubs: int = 8) -> DataFrame:
     """(id, n_shingles, component_id) for every row; sets at ``percent`` or more of Jaccard similarity are linked."""
     rows = materialize(_described(docs, id_col, text_col, shingle, percent, slots), "described")
     shown = rows.where("n > 0")
@@ -228,7 +291,11 @@ def _linked(docs: DataFrame, text_col: str, shown: DataFrame, nodes: DataFrame,
         entries = materialize(entries.join(buckets, "token"), "entries")
         pairs = materialize(_candidates(entries, percent, limit, hubs), "group_pairs")
         alike = materialize(_verifiable(pairs, labelled, percent, limit, hubs, turn), "pairs")
-        asked = alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()
+        asked = alike.select(F.col("a").alias("node")).union(alike.select("b"))
+        if sets is None:  # what large buckets may ask for later comes along, so that texts are not read once a turn
+            later = entries.where(F.col("c") > max(limit, hubs)).select("g").distinct()
+            asked = asked.union(nodes.join(later, "g", "left_semi").select("node"))
+        asked = asked.distinct()
         asked = asked if sets is None else asked.join(sets, "node", "left_anti")
         asked = materialize(nodes.join(asked, "node", "left_semi").select("node", "content"), "asked")
         if asked.take(1):

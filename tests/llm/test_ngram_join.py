@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,18 @@ def test_families_in_one_bucket(make_docs):
     # With two slots the order is hardly better than hashes, so the passage is in most prefixes.
     for options in ({}, {"slots": 2, "hubs": 2}):
         assert {r.id: r.component_id for r in ngram_join.components(make_docs(rows), **options).collect()} == want
+
+
+def test_sets_by_arrays(odd_docs, monkeypatch):
+    """Sizes and overlaps of hashed sets against sets of strings, with texts cut into pieces anyhow."""
+    monkeypatch.setattr(ngram_join, "PIECE", 40)
+    texts = [r.text for r in odd_docs.collect()] + ["a b c d e f", "A B C D E F", "a b c d e g", "a b", "ab", "b a", " a  b\n", "\u00a0x\u2003y", "a b c d e f a b c d e f", "x" * 5000, "\r\n\x0b\x0c\t "]
+    for k in (1, 2, 5, 7):
+        found = ngram_join.shingle_sets(pa.array(texts, pa.string()), k)
+        plain = [plain_set(t, k) for t in texts]
+        assert [len(f) for f in found] == [len(p) for p in plain]
+        for i in range(len(texts)):
+            for j in range(i):
+                assert len(np.intersect1d(found[i], found[j])) == len(plain[i] & plain[j])
+    part = pa.array(texts, pa.string()).slice(3, 4)
+    assert [f.tolist() for f in ngram_join.shingle_sets(part)] == [ngram_join.shingle_set(t).tolist() for t in texts[3:7]]
