@@ -41,7 +41,7 @@ def exact_quantiles(
     never count as many. The values left, at most ``most`` and the two marks, are one short array per rank.
     ``df`` is read twice, and twice more a turn, so pass a stored table.
     """
-    k = len(probabilities)
+    k, most = len(probabilities), max(most, 16)  # so few cannot be cut any further
     margin = 4.0 / accuracy
 
     def summary(c: str) -> Column:
@@ -81,7 +81,8 @@ def exact_quantiles(
         at_from = long.join(large, "feature").groupBy("feature", "q").agg(F.count_if(value == F.col("from")).alias("equal"))
         near = large.join(marks, ["feature", "q"]).join(at_from, ["feature", "q"])
         place = (F.col("rank") - F.col("below") - F.col("equal")) / F.col("m") * 1000.0
-        first, last = F.floor(place - 1.5).cast("int"), F.ceil(place + 1.5).cast("int")
+        spare = F.lit(1.5) + F.lit(1000.0) / F.col("m")  # the marks' own error, and one value more on each side
+        first, last = F.floor(place - spare).cast("int"), F.ceil(place + spare).cast("int")
         mark = lambda i: F.get("marks", F.least(F.greatest(i, F.lit(0)), F.lit(1000)))
         below_all, above_all = F.when(first < 0, F.col("from")), F.when(last > 1000, F.col("to"))
         open_ = materialize(near.select("feature", "q", "p", "n", "rank", "from", "to", F.coalesce(below_all, mark(first)).alias("low"), F.coalesce(above_all, mark(last)).alias("high")), "marks")

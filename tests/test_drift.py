@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.functions.pvalues import ks_p_value, welch_p_value
+from barwright.functions.pvalues import ks_p_value_exact, ks_p_value, welch_p_value
 from barwright.operators import drift
 from barwright.operators.ordered import approximate_quantiles, exact_quantiles
+from barwright.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -179,3 +182,72 @@ def test_default_features_and_skipped_ones(spark):
     assert {r["feature"] for r in drift.detect_drift(a, b).collect()} == {"x"}
     found = drift.detect_drift(a, b.drop("gone"), ["x", "gone"], methods=["psi"]).collect()
     assert {(r["method"], r["feature"], r["is_drift"]) for r in found} == {("psi", "x", True), ("skipped", "gone", False)}
+
+
+def test_quantiles_by_nested_brackets(spark):
+    """Brackets that hold too much are cut again, also where most values are copies of a few."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(
+        {
+            "u": rng.random(20_000),
+            "heavy": np.where(rng.random(20_000) < 0.9, 5.0, rng.normal(5, 1, 20_000)),
+            "edge": np.where(rng.random(20_000) < 0.5, 1.0, 2.0),
+            "wide": np.exp(rng.normal(0, 60, 20_000)),
+        }
+    )
+    df = materialize(spark.createDataFrame(pdf))
+    probabilities = (0.0, 0.01, 0.25, 0.5, 0.77777, 0.95, 1.0)
+    got = exact_quantiles(df, list(pdf), probabilities, accuracy=100, most=16).toPandas().set_index("feature")
+    for f in pdf:
+        np.testing.assert_allclose(got.loc[f, [f"q{i}" for i in range(7)]].astype(float), np.quantile(pdf[f], probabilities), rtol=1e-12)
+    plan = exact_quantiles(df, ["u"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_exact_ks_p_values(spark):
+    """Against all orders of the pooled sample, and published tail values of equal samples."""
+    import itertools
+
+    rows, want = [], []
+    for n, m in [(1, 1), (2, 3), (4, 4), (3, 7), (5, 6)]:
+        gaps = []
+        for picks in itertools.combinations(range(n + m), n):
+            steps = np.full(n + m, -1.0 / m)
+            steps[list(picks)] = 1.0 / n
+            gaps.append(np.abs(np.cumsum(steps)).max())
+        for d in sorted({round(g, 9) for g in gaps}):
+            rows.append((float(d), n, m))
+            want.append(np.mean(np.array(gaps) >= d - 1e-9))
+    for n in (10, 20, 100):  # samples of one size have a closed form
+        for k in range(1, n + 1, 3):
+            terms = [(-1) ** (j - 1) * math.comb(2 * n, n - j * k) / math.comb(2 * n, n) for j in range(1, n // k + 1)]
+            rows.append((k / n, n, n))
+            want.append(min(1.0, 2 * sum(terms)))
+    df = spark.createDataFrame(rows, "d double, n int, m int")
+    got = [r["p"] for r in df.select("d", "n", "m", ks_p_value_exact(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()]
+    np.testing.assert_allclose(got, want, rtol=1e-7)
+
+
+def test_small_samples_use_the_exact_p_value(spark):
+    r = spark.createDataFrame([(float(i),) for i in range(12)], "v double")
+    c = spark.createDataFrame([(float(i * i),) for i in range(15)], "v double")
+    exact = drift.ks_drift(r, c, ["v"], standardize=False).collect()[0]
+    rough = drift.ks_drift(r, c, ["v"], standardize=False, exact_up_to=0).collect()[0]
+    assert exact["statistic"] == rough["statistic"] and exact["p_value"] != rough["p_value"]
+    assert abs(exact["p_value"] - rough["p_value"]) < 0.1
+
+
+def test_psi_of_many_groups(spark, many_partitions):
+    """Each group's own bins, against a plain count, with values that equal cuts; no row holds all cuts."""
+    rng = np.random.default_rng(7)
+    ref = rng.integers(0, 40, 800) / 4.0
+    cur = pd.DataFrame({"g": [f"g{i % 60}" for i in range(1800)], "v": rng.integers(-8, 60, 1800) / 4.0})
+    got = drift.psi(spark.createDataFrame(pd.DataFrame({"v": ref})), spark.createDataFrame(cur), ["v"], by="g").collect()
+    assert len(got) == 60
+    for row in got:
+        own = cur.loc[cur.g == row["grp"], "v"].to_numpy()
+        low, high = min(ref.min(), own.min()), max(ref.max(), own.max())
+        edges = [low + (high - low) * i / 10.0 for i in range(1, 10)]
+        shares = [np.bincount(np.searchsorted(edges, x, side="right"), minlength=10) / len(x) for x in (ref, own)]
+        a, b = (np.where(x == 0, 0.0001, x) for x in shares)
+        assert row["psi"] == pytest.approx(((b - a) * np.log(b / a)).sum(), rel=1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +16,7 @@ from barwright.operators.indicators import (
     add_target,
     add_true_range,
 )
-from barwright.operators.layout import Layout, with_row_index
+from barwright.operators.layout import Layout, with_halo, with_row_index
 from barwright.schema import INDICATORS
 
 
@@ -188,3 +190,63 @@ def test_short_halos_equal_long_ones(gappy):
     for name in INDICATORS:
         one, every = ordered(add_indicators(gappy, [name], small)), ordered(add_indicators(gappy))
         pd.testing.assert_series_equal(one[name], every[name], check_exact=True)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_exchange_of_whole_rows(spark, gappy):
+    """Bars are computed once and stored; then all rows are exchanged once, for the windows."""
+    plan = plan_of(add_indicators(gappy, label=True, layout=Layout(slice_bars=2, slices_per_bucket=8)))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(exchanges) == 1 and "__bucket" in exchanges[0]
+    assert "LogicalRDD" not in plan and plan.count("FileScan parquet") == 2  # the stored rows and the places of slices
+
+
+def test_copies_follow_rows_not_hours(spark, make_bars):
+    """Sparse, regular and dense stretches: buckets of one size, and few copies for each."""
+    hours = [*range(0, 4000, 40), *range(5000, 5600), *[6000 + i * 200 for i in range(100)]]
+    bars = make_bars([float(i) for i in range(len(hours))], hours=hours)
+    layout = Layout(slice_bars=4, slices_per_bucket=16)
+    dealt = with_halo(bars, layout, back=20, ahead=1).toPandas()
+    core = dealt[dealt["__core"]]
+    assert sorted(core["close"]) == [float(i) for i in range(len(hours))]
+    sizes = core.groupby("__bucket").size()
+    assert sizes.max() <= 64 + 3 and len(sizes) == -(-len(hours) // 64)
+    copies = dealt[~dealt["__core"]].groupby("__bucket").size()
+    assert copies.max() <= 20 + 3 + 1 + 3
+    for bucket, rows in dealt.groupby("__bucket"):
+        first, last = rows.loc[rows["__core"], "close"].min(), rows.loc[rows["__core"], "close"].max()
+        assert set(np.arange(max(0, first - 20), min(len(hours), last + 2))) <= set(rows["close"])
+
+
+def test_scan_of_segments_matches_pandas():
+    """Segments of all lengths at once, with missing closes, against one pandas average for each."""
+    from barwright.operators import indicators as ind
+
+    rng = np.random.default_rng(3)
+    lengths = [1, 2, 5, 31, 32, 33, 64, 300, 1000]
+    close = rng.normal(100, 5, sum(lengths))
+    close[rng.random(len(close)) < 0.1] = np.nan
+    close[lengths[0] + lengths[1] : lengths[0] + lengths[1] + 3] = np.nan
+    starts = np.cumsum([0, *lengths[:-1]])
+    out, ends = ind._averages(close, starts, np.full((len(lengths), 6), np.nan))
+    for a, n in zip(starts, lengths):
+        part = pd.Series(close[a : a + n])
+        for i, span in enumerate(ind.EMA_SPANS):
+            want = part.ewm(span=span, adjust=False, ignore_na=True).mean()
+            np.testing.assert_allclose(out[i, a : a + n], want, rtol=1e-11)
+        macd = part.ewm(span=12, adjust=False, ignore_na=True).mean() - part.ewm(span=26, adjust=False, ignore_na=True).mean()
+        np.testing.assert_allclose(out[6, a : a + n], macd.ewm(span=9, adjust=False, ignore_na=True).mean(), rtol=1e-9, atol=1e-11)
+    assert ind._averages(np.zeros(0), np.zeros(0, int), np.zeros((0, 6)))[0].shape == (7, 0)
+
+
+def test_ema_of_many_series_in_packs(spark, gappy):
+    """Packs of a few rows and of all rows give the same, with an unnamed series among them."""
+    unnamed = gappy.where("series_id = 's1'").selectExpr("cast(null as string) series_id", *gappy.columns[1:])
+    bars = gappy.union(unnamed)
+    one = add_ema(bars, Layout(slice_bars=4, slices_per_bucket=4), pack_rows=40).toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
+    every = add_ema(bars).toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(one, every, check_exact=False, rtol=1e-11)
+    assert len(one) == bars.count()

@@ -8,12 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import models, scoring
-from barwright.operators.prepare import prepare
+from barwright.operators import models, scoring, trees
+from barwright.operators.layout import Layout
+from barwright.operators.prepare import prepare, prepare_split, stratified_folds, time_split, with_class_weight_by
 from barwright.plans.monitoring import drift_check, weekly_drift
 from barwright.plans.training import train_and_evaluate
 from barwright.schema import BAR_SCHEMA, INDICATORS, MODEL_FEATURES, feature_columns
-from barwright.session import scratch_path
+from barwright.session import materialize, scratch_path
 from barwright.sources import readers, sinks
 from barwright.sources.bars import hourly_bars
 from barwright.streaming.scoring import start_scoring, stream_rows
@@ -138,6 +139,83 @@ def test_ensemble_blend_and_importance(spark, run):
     assert imp.agg(F.sum("importance")).collect()[0][0] == pytest.approx(1.0)
 
 
+@pytest.mark.slow
+def test_nodes_give_the_fitted_probabilities(spark, run):
+    test = run.split.where("split = 'test'")
+    names = [f"scaled_{c}" for c in MODEL_FEATURES]
+    for name, depth in (("forest", 4), ("boosted", 3)):
+        model = run.models[name]
+        nodes = materialize(trees.node_table(spark, model), "nodes")
+        assert nodes.select("tree").distinct().count() == model.stages[-1].getNumTrees
+        replay = trees.score_by_nodes(model.stages[0].transform(test), nodes, names, boosted=name == "boosted").select("series_id", "ts", "score", "pred")
+        fitted = models.predict(model, test).select("series_id", "ts", F.col("score").alias("p"), F.col("pred").alias("c"))
+        both = replay.join(fitted, ["series_id", "ts"])
+        assert both.count() == test.count() and both.where((F.abs(F.col("score") - F.col("p")) > 1e-9) | (F.col("pred") != F.col("c"))).count() == 0
+        whole = trees.cut_trees(nodes, depth=depth)
+        assert whole.exceptAll(nodes).count() == 0
+        stumps = trees.cut_trees(nodes, depth=1)
+        assert stumps.where("left IS NOT NULL").count() == nodes.where("node = 0 AND left IS NOT NULL").count()
+        large = trees.cut_trees(nodes, min_split=60)
+        assert large.where("left IS NOT NULL AND n < 60").count() == 0
+    few = trees.cut_trees(trees.node_table(spark, run.models["forest"]), trees=4)
+    assert few.select("tree").distinct().count() == 4 and few.where("node = 0").agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+
+
+@pytest.mark.slow
+def test_best_models_vote(spark, run):
+    split = run.split.withColumn("late", F.col("row_id") >= F.col("n_rows") * 0.64)
+    validation, test = split.where("late AND split = 'train'"), split.where("split = 'test'")
+    board = {r["model"]: r["f1"] for r in models.validation_metrics(run.models, validation).collect()}
+    voted, names = models.best_ensemble(run.models, validation, test, k=1)
+    assert board[names[0]] == max(board.values())
+    alone = models.predict(run.models[names[0]], test).select("series_id", "ts", F.col("score").alias("p"))
+    assert voted.join(alone, ["series_id", "ts"]).where(F.abs(F.col("score") - F.col("p")) > 1e-12).count() == 0
+
+
+@pytest.mark.slow
+def test_search_over_several_estimators(spark, run):
+    train = run.split.where("split = 'train'")
+    forest, boosted = models.random_forest(4, 3), models.boosted_trees(2, 2, 0.1)
+    spaces = {"forest": (forest, models.settings(forest, {"maxDepth": [2, 3]})), "boosted": (boosted, models.settings(boosted, {"stepSize": [0.1]}))}
+    table, results = models.search(stratified_folds(train, 2), spaces, run.scaler, folds=2, fold_column="fold")
+    rows = table.collect()
+    assert len(rows) == 3 and set(results) == {"forest", "boosted"}
+    assert [r["mean_f1"] for r in rows if r["is_best"]] == [max(r["mean_f1"] for r in rows)]
+    assert len(models.settings(models.random_forest(), models.FOREST_SPACE)) == 24 and len(models.settings(models.boosted_trees(), models.BOOSTED_SPACE)) == 81
+
+
+def test_weights_inside_folds(spark):
+    rows = [(i, i % 3 % 2, i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, target int, fold int")
+    got = with_class_weight_by(df, ["fold"]).groupBy("fold", "target").agg(F.sum("weight").alias("w")).collect()
+    assert len(got) == 4 and all(r["w"] == pytest.approx(7.5) for r in got)
+
+
+def test_split_is_numbered_in_one_write(spark, bars):
+    small = Layout(slice_bars=4, slices_per_bucket=4)
+    once = prepare_split(bars, layout=small)
+    twice = time_split(prepare(bars), layout=small)
+    assert once.select(*twice.columns).exceptAll(twice).count() == 0 and once.count() == twice.count()
+    assert "Exchange hashpartitioning(series_id" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feature_without_training_values_is_named(spark):
+    stats = spark.createDataFrame([("a", None, None)], "feature string, mean double, std double")
+    with pytest.raises(ValueError, match="no training row"):
+        models.scaling_stage(stats, ["a"])
+
+
+def test_extra_csv_columns_of_a_stated_type(spark):
+    path = scratch_path(spark, "extra-csv")
+    spark.createDataFrame([("1", "2"), ("x", "3")], "a string, b string").write.option("header", True).csv(path)
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("b", T.IntegerType())])
+    stated = readers.read_csv_by_name(spark, path, schema, extra_type="double")
+    assert stated.dtypes == [("b", "int"), ("a", "double")] and sorted(r["a"] or 0 for r in stated.collect()) == [0, 1.0]
+    assert readers.read_csv_by_name(spark, path, schema).dtypes == [("b", "int"), ("a", "string")]
+
+
 def test_drift_json_has_booleans(spark, bars):
     results, summary = drift_check(bars.select("close", "volume"), bars.select((F.col("close") + 50).alias("close"), "volume"))
     path = scratch_path(spark, "drift")
