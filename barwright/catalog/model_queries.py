@@ -55,6 +55,13 @@ def _(spark, d):
     return rounded(run.metrics.select(*METRIC_COLUMNS))
 
 
+@query("m01_random_forest_by_user")
+def _(spark, d):
+    """The same forest on the bars of every user, which grow with the events."""
+    run = train_and_evaluate(bars_by_user(spark, d), {"forest": models.random_forest(100, 8, weighted=False)})
+    return rounded(run.metrics.select(*METRIC_COLUMNS))
+
+
 @query("m02_boosted_trees")
 def _(spark, d):
     run = train_and_evaluate(bars_by_type(spark, d), {"boosted": models.boosted_trees(200, 7, 0.05)})
