@@ -155,14 +155,20 @@ def mix(
     Only if ``max_patterns`` is given are texts of patterns beyond that many largest left out of the overlap.
     """
     mixed = _mixed(docs, id_col, text_col, source_col, weights, whole, seed, max_patterns)
-    return mixed.select("_row.*", "_size", "_source_size", "_target", "_taken")
+    return mixed.select(*_named(docs), "_size", "_source_size", "_target", "_taken")
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` under their own names again."""
+    return [F.col(f"_column{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
 def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, whole: bool = False, seed: int = 1, max_patterns: int | None = None) -> DataFrame:
-    """The same with the columns of ``docs`` in one struct, _row."""
+    """The same with the columns of ``docs`` as _column0, _column1 and so on."""
     content = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its fields may have any names
-    wide = docs.select(packed, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), content.alias("_content"))
+    # Numbered, so that columns may have any names, and one by one, so that those not asked for never travel.
+    held = [F.col(f"`{c}`").alias(f"_column{i}") for i, c in enumerate(docs.columns)]
+    wide = docs.select(*held, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), content.alias("_content"))
     rows = materialize(wide.select(F.col("_source").alias("source"), "_size", "_content"), "sizes")
     sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("_size")).collect()}
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
@@ -195,7 +201,7 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     out = out.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_content")))
     out = running_total(out, "_cell", "_order", [], "_size", "_earlier").join(plan, "_cell", "left")
     taken = F.coalesce(F.col("_times") * F.col("_size") + _share(whole), F.lit(0).cast("long"))
-    return out.select("_row", "_size", "_source_size", "_target", taken.alias("_taken"))
+    return out.select(*[f"_column{i}" for i in range(len(docs.columns))], "_size", "_source_size", "_target", taken.alias("_taken"))
 
 
 def _share(whole: bool) -> Column:
@@ -210,4 +216,4 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it, whole."""
     mixed = _mixed(docs, whole=True, **options).where("_taken > 0")
     times = F.expr("explode(sequence(1L, _taken div _size))")
-    return mixed.select("_row", times.alias("_time")).select("_row.*")
+    return mixed.select(*[f"_column{i}" for i in range(len(docs.columns))], times.alias("_time")).select(*_named(docs))
