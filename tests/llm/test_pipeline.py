@@ -12,6 +12,7 @@ import __spark_entry__ as contract
 import corpus_pipeline as pipeline
 from barwright.llm import pieces, segment
 from tests.llm.conftest import prose
+from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,6 +26,8 @@ def small(spark, make_docs, tmp_path_factory):
     rows += [(100 + i, " ".join(w + "$$$" for w in prose(500 + i, 100)), "a") for i in range(40)]
     rows += [(200 + i, rows[i][1], "b") for i in range(10)]
     rows += [(300 + i, rows[i][1].replace(rows[i][1].split()[50], "edited", 1), "b") for i in range(10)]
+    rows += [(320 + i, " ".join(prose(900 + i, 600)), "b") for i in range(6)]
+    rows += [(340 + i, " ".join([*prose(900 + i, 600)[:-1], "edited"]), "b") for i in range(6)]
     rows += [(400 + i, " ".join(prose(700 + i, 90)) + f' token = "{i:040x}" end', "b") for i in range(8)]
     rows += [(None, None, None), (500, None, "a"), (501, "", "b"), (0, rows[0][1], "a")]
     make_docs(rows).select(*COLUMNS).write.parquet(f"{folder}/documents.parquet")
@@ -43,7 +46,12 @@ def test_stages(spark, small):
     ids = {name: Counter(r.doc_id for r in rows) for name, rows in kept.items()}
     assert not any(100 <= (i or 0) < 200 for i in ids["quality_classifier"])
     assert set(range(80)) <= set(ids["quality_classifier"])
-    assert all(ids["near_dedup"][i] == 1 for i in range(80)) and not any(200 <= (i or 0) < 400 for i in ids["near_dedup"])
+    assert all(ids["near_dedup"][i] == 1 for i in range(80)) and not any(200 <= (i or 0) < 300 for i in ids["near_dedup"])
+    # Two bits decide, not the similarity of words: the least id of each group by brute force over the stage's input.
+    prints = sorted({(r.doc_id, plain_fingerprint(r.text)) for r in kept["quality_classifier"]}, key=str)
+    groups = plain_components(prints, lambda a, b: (a[1] ^ b[1]).bit_count() <= 2)
+    assert ids["near_dedup"] == Counter(set(groups.values()))
+    assert any(320 <= first < 340 and i is not None and i >= 340 for (i, _), first in groups.items() if first is not None)
     masked = {r.doc_id: r for r in kept["mask_secrets"]}
     assert len(kept["mask_secrets"]) == len(kept["near_dedup"])
     for i in range(400, 408):
