@@ -96,7 +96,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def op2(spark: SparkSession, d: str) -> DataFrame:
     coded = segment.encode_documents(table(spark, d, "documents"), with_ids=False)
     best = [F.get("scores", i).alias(f"score_{i + 1}") for i in range(3)]
-    return coded.select(F.col("id").alias("doc_id"), "n_pieces", *best, "ids_sha256", "round_trip")
+    others = [F.get("n_best_sha256", i).alias(f"ids_sha256_{i + 1}") for i in range(1, 3)]
+    return coded.select(F.col("id").alias("doc_id"), "n_pieces", *best, "ids_sha256", *others, "round_trip")
 
 
 @REGISTRY.query("op4_lattice_lm_scores")

@@ -5,16 +5,18 @@ backwards from the end, that score is exactly what remains, so A-star pops whole
 order of score and expands nothing else. A text is cut into words and runs of other characters, but nowhere
 between two characters that some piece of the vocabulary holds side by side. No piece crosses such a cut, so
 the text is a chain of small lattices: each is solved once per task, and the N best of the chain come from
-the N - 1 smallest losses.
+the N - 1 smallest losses: each is the best chain with the units behind its losses replaced.
 
-A null text gives null columns of the encoding; an empty one has no pieces and score 0.
+A null text gives null columns of the encoding; an empty one has no pieces, score 0 and one segmentation.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,39 +28,47 @@ from barwright.llm.pieces import DEFAULT_MODEL, MARK, Vocabulary, load
 
 #: Letters and digits after their spaces, other visible characters after theirs, single line ends and tabs.
 _UNITS = re.compile(r" *[^\W_]+| *(?:[^\w\s]|_)+| +|\s", re.DOTALL)
-ENCODED = "ids array<int>, n_pieces long, score double, scores array<double>, ids_sha256 string, round_trip boolean"
+ENCODED = "ids array<int>, others array<array<int>>, n_pieces long, score double, scores array<double>, ids_sha256 string, n_best_sha256 array<string>, round_trip boolean"
 
 
 def _trie(vocabulary: Vocabulary) -> tuple[dict, int]:
-    """(the pieces by characters, the longest piece); the key "" holds (log probability, ids). Built once per vocabulary."""
+    """(the pieces by characters, the longest piece); a character leads to its followers and the (log probability, ids)
+    of the piece that ends there, if one does. Built once per vocabulary."""
     found = vocabulary.__dict__.get("_trie")
     if found is None:
         root: dict = {}
         for piece, entry in vocabulary.entries.items():
             if entry:
                 node = root
-                for char in piece:
-                    node = node.setdefault(char, {})
-                node[""] = (entry[1], (entry[0],))
+                for char in piece[:-1]:
+                    node = node.setdefault(char, ({}, []))[0]
+                node.setdefault(piece[-1], ({}, []))[1][:] = [entry[1], (entry[0],)]
         found = vocabulary.__dict__["_trie"] = (root, max(map(len, vocabulary.entries), default=1))
     return found
 
 
-def _crossing(vocabulary: Vocabulary) -> frozenset[str]:
-    """Neighbours in some piece that _UNITS, which looks only at the two, would cut apart. Built once per vocabulary."""
+def _crossing(vocabulary: Vocabulary) -> tuple[frozenset[str], list[str]]:
+    """Neighbours in some piece that _UNITS, which looks only at the two, would cut apart, and a few characters such
+    that each pair has one of them. Built once per vocabulary."""
     found = vocabulary.__dict__.get("_crossing")
     if found is None:
         pieces = [p.replace(MARK, " ") for p, entry in vocabulary.entries.items() if entry]
         pairs = {a + b for p in pieces for a, b in zip(p, p[1:])}
-        found = vocabulary.__dict__["_crossing"] = frozenset(p for p in pairs if len(_UNITS.findall(p)) > 1)
+        pairs = {p for p in pairs if len(_UNITS.findall(p)) > 1}
+        marks, left = [], list(pairs)
+        while left:
+            count = Counter(c for p in left for c in set(p))
+            marks.append(max(count, key=lambda c: (count[c], c)))
+            left = [p for p in left if marks[-1] not in p]
+        found = vocabulary.__dict__["_crossing"] = (frozenset(pairs), marks)
     return found
 
 
 def units_of(text: str, vocabulary: Vocabulary) -> list[str]:
     """Parts of a text such that no piece reaches from one into the next."""
     units = _UNITS.findall(text)
-    crossing = _crossing(vocabulary)
-    if not any(p in text for p in crossing):
+    crossing, marks = _crossing(vocabulary)
+    if not any([c in text for c in marks]):
         return units
     starts = [i for i in range(len(units)) if not i or units[i - 1][-1] + units[i][0] not in crossing]
     return ["".join(units[i:j]) for i, j in zip(starts, [*starts[1:], len(units)])]
@@ -75,22 +85,22 @@ def n_best(unit: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, tuple
         reached = best[start]
         node = root
         end = start
-        single = False
         for char in text[start : start + longest]:
-            node = node.get(char)
-            if node is None:
+            found = node.get(char)
+            if found is None:
                 break
             end += 1
-            if "" in node:
-                cost, ids = node[""]
+            node, piece = found
+            if piece:
+                cost, ids = piece
                 arcs[end].append((start, cost, ids))
-                if reached + cost > best[end]:
-                    best[end] = reached + cost
-                if end == start + 1:
-                    single = True
-        if not single:
+                cost += reached
+                if cost > best[end]:
+                    best[end] = cost
+        into = arcs[start + 1]
+        if not into or into[-1][0] != start:  # no piece is this one character
             ids, cost = vocabulary.spell(unit[start])
-            arcs[start + 1].append((start, cost, ids))
+            into.append((start, cost, ids))
             if reached + cost > best[start + 1]:
                 best[start + 1] = reached + cost
     # An open node (rest fixed behind it) stands for its best completion, whose score is known exactly. Popping
@@ -136,39 +146,70 @@ _NONE = 1e300
 
 
 class Encoder:
-    """Encodes whole texts; remembers the units it has solved, the older half goes when there are too many."""
+    """Encodes whole texts; remembers the units it has solved, the older half goes when there are too many.
+
+    Every unit is solved for its two best segmentations, which give its least loss; the rest only where that is one
+    of the least of a text.
+    """
 
     def __init__(self, vocabulary: Vocabulary, n: int = 3, remembered: int = 600_000) -> None:
         self.vocabulary, self.n, self.remembered = vocabulary, n, remembered
         self.solved: dict[str, tuple] = {}
+        self.others: dict[str, list] = {}
 
-    def _solve(self, unit: str) -> tuple:
-        found = n_best(unit, self.vocabulary, self.n)
-        score, ids = found[0]
-        losses = tuple([score - s for s, _ in found[1:]])
-        if len(self.solved) >= self.remembered:
-            for key in list(self.solved)[: self.remembered // 2]:
-                del self.solved[key]
-        out = self.solved[unit] = (array("i", ids).tobytes(), score, losses[0] if losses else _NONE, losses)
-        return out
+    def _kept(self, solved: dict, unit: str, found):
+        if len(solved) >= self.remembered:
+            for key in list(solved)[: self.remembered // 2]:
+                del solved[key]
+        solved[unit] = found
+        return found
 
-    def encode(self, text: str) -> tuple[bytes, float, list[float]]:
-        """(ids as 32-bit integers, best score, scores of the n best segmentations of the whole text)."""
+    def _solve(self, unit: str) -> tuple[bytes, float, float]:
+        """(ids as 32-bit integers, score, what the second best loses)."""
+        (score, ids), *second = n_best(unit, self.vocabulary, min(self.n, 2))
+        return self._kept(self.solved, unit, (array("i", ids).tobytes(), score, max(score - second[0][0], 0.0) if second else _NONE))
+
+    def _others(self, unit: str) -> list[tuple[float, bytes, bool]]:
+        """(loss, ids as 32-bit integers, whether they spell what the best spells) of the second to the n-th best."""
+        found = self.others.get(unit)
+        if found is None:
+            (score, best), *rest = n_best(unit, self.vocabulary, self.n)
+            text = decode(best, self.vocabulary)
+            found = [(max(score - s, 0.0), array("i", ids).tobytes(), decode(ids, self.vocabulary) == text) for s, ids in rest]
+            self._kept(self.others, unit, found)
+        return found
+
+    def segmentations(self, text: str) -> list[tuple[float, bytes, bool]]:
+        """The n best (score, ids as 32-bit integers, whether they spell what the best spells) of the whole text, best
+        first; fewer if there are fewer."""
         if not text:
-            return b"", 0.0, [0.0]
+            return [(0.0, b"", True)]
         get, solve = self.solved.get, self._solve
-        chain = [get(u) or solve(u) for u in units_of(" " + text, self.vocabulary)]
-        total = sum([c[1] for c in chain])
-        sums = [0.0]
-        losses = [c[2] for c in chain]
+        units = units_of(" " + text, self.vocabulary)
+        best, scores, firsts = zip(*[get(u) or solve(u) for u in units])
+        total = sum(scores)
+        found: list[tuple] = [(0.0, ())]  # the loss, and the (place, ids, spells the same) of units that are not cut best
+        losses = list(firsts)
         for _ in range(self.n - 1):  # only the n - 1 smallest first losses can take part in the n best
             least = min(losses)
             if least >= _NONE:
                 break
             at = losses.index(least)
             losses[at] = _NONE
-            sums = heapq.nsmallest(self.n, [s + x for s in sums for x in (0.0, *chain[at][3])])
-        return b"".join([c[0] for c in chain]), total, [total - s for s in sums]
+            own = [(0.0, ()), *[(x, ((at, ids, same),)) for x, ids, same in self._others(units[at])]]
+            found = heapq.nsmallest(self.n, [(s + x, picks + more) for s, picks in found for x, more in own])
+        out = []
+        for s, picks in found:
+            packs = list(best)
+            for at, ids, _ in picks:
+                packs[at] = ids
+            out.append((total - s, b"".join(packs), all([same for *_, same in picks])))
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, float, list[float]]:
+        """(ids as 32-bit integers, best score, scores of the n best segmentations of the whole text)."""
+        found = self.segmentations(text)
+        return found[0][1], found[0][0], [s for s, *_ in found]
 
 
 def _encoder(vocabulary: Vocabulary, n: int, kept: list = []) -> Encoder:  # noqa: B006
@@ -180,17 +221,33 @@ def _encoder(vocabulary: Vocabulary, n: int, kept: list = []) -> Encoder:  # noq
 
 def decode(ids, vocabulary: Vocabulary) -> str:
     """The text of ids; the space that encoding puts first is taken off."""
-    spelled = vocabulary.spelled
-    raw = b"".join([spelled[i] for i in ids])
+    raw = b"".join(map(vocabulary.spelled.__getitem__, ids))
     return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def _offsets(lengths: list[int]) -> pa.Array:
+    return pa.array([0, *itertools.accumulate(lengths)], pa.int32())
+
+
+def _id_lists(packs: list[bytes | None]) -> pa.ListArray:
+    held = [p or b"" for p in packs]
+    offsets = _offsets([len(p) // 4 for p in held])
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join(held))])
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array([p is None for p in packs], pa.bool_()))
+
+
+def _id_lists_of_lists(rows: list[list[bytes] | None]) -> pa.ListArray:
+    inner = _id_lists([p for row in rows for p in row or ()])
+    return pa.ListArray.from_arrays(_offsets([len(row or ()) for row in rows]), inner, mask=pa.array([row is None for row in rows], pa.bool_()))
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = DEFAULT_MODEL, n: int = 3, with_ids: bool = True) -> DataFrame:
-    """(id, ids, n_pieces, score, scores, ids_sha256, round_trip) per row.
+    """(id, ids, others, n_pieces, score, scores, ids_sha256, n_best_sha256, round_trip) per row.
 
-    scores are those of the n best segmentations, ids_sha256 is over little-endian 32-bit ids, round_trip
-    says that decoding gives back the text. Without ``with_ids`` ids stay null. The vocabulary is read on
-    the driver and broadcast: its size is fixed and does not grow with the data.
+    ids and score are the best segmentation's, others the ids of the second to the n-th best; scores and
+    n_best_sha256 are those of the n best in order, digests over little-endian 32-bit ids. round_trip says that
+    every one of them decodes to the text. Without ``with_ids`` ids and others stay null. The vocabulary is read
+    on the driver and broadcast: its size is fixed and does not grow with the data.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(model_file))
@@ -200,28 +257,30 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         encoder = _encoder(vocabulary, n)
-        types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
-        names = ["id", "ids", "n_pieces", "score", "scores", "ids_sha256", "round_trip"]
+        types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.list_(pa.string()), pa.bool_()]
+        names = ["id", "ids", "others", "n_pieces", "score", "scores", "ids_sha256", "n_best_sha256", "round_trip"]
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                rows, packs, offsets = [], [], [0]
+                rows, bests, others = [], [], []
                 for text in batch.column(1).to_pylist():
                     if text is None:
-                        rows.append((None,) * 5)
-                        offsets.append(offsets[-1])
+                        rows.append((None,) * 6)
+                        bests.append(None)
+                        others.append(None)
                         continue
-                    packed, score, scores = encoder.encode(text)
-                    ids = memoryview(packed).cast("i")
-                    packs.append(packed)
-                    offsets.append(offsets[-1] + len(ids))
-                    rows.append((len(ids), score, scores, hashlib.sha256(packed).hexdigest(), decode(ids, vocabulary) == text))
+                    found = encoder.segmentations(text)
+                    packs = [p for _, p, _ in found]
+                    bests.append(packs[0])
+                    others.append(packs[1:])
+                    digests = [hashlib.sha256(p).hexdigest() for p in packs]
+                    exact = decode(memoryview(packs[0]).cast("i"), vocabulary) == text and all([same for *_, same in found])
+                    rows.append((len(packs[0]) // 4, found[0][0], [s for s, *_ in found], digests[0], digests, exact))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 if with_ids:
-                    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packs))])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([r[0] is None for r in rows]))
+                    lists = [_id_lists(bests), _id_lists_of_lists(others)]
                 else:
-                    lists = pa.nulls(len(rows), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, *columns], names=names)
+                    lists = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *columns], names=names)
 
     return source.mapInArrow(run, f"id {kind}, {ENCODED}")

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+from array import array
 from functools import cache
 
 import pytest
@@ -97,6 +99,35 @@ def test_units_follow_the_vocabulary(tiny):
         assert [round(s, 9) for s in segment.Encoder(own, 4).encode(text)[2]] == [round(s, 9) for s, _ in want]
 
 
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_segmentations_of_whole_texts(tiny, n):
+    """The n best are given with their ids, not only with their scores."""
+    for text in ("abab ba aab", "ab ab ab", "a", "c", ""):
+        want = all_cuts(" " + text, tiny) if text else [(0.0, ())]
+        got = [(s, tuple(memoryview(p).cast("i"))) for s, p, same in segment.Encoder(tiny, n).segmentations(text) if same]
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want[:n]]
+        assert len({ids for _, ids in got}) == len(got)
+        assert all(any(abs(s - w) < 1e-9 and ids == x for w, x in want) for s, ids in got)
+
+
+def test_documents_give_all_segmentations(vocabulary, make_docs):
+    texts = [" ".join(prose(3, 40)), "f(x);\r\n}\r\n", "日本語 テスト", "", None, "a"]
+    rows = {r.id: r for r in segment.encode_documents(make_docs(list(enumerate(texts)))).collect()}
+    digest = lambda ids: hashlib.sha256(array("i", ids).tobytes()).hexdigest()
+    for i, text in enumerate(texts):
+        r = rows[i]
+        if text is None:
+            assert r.others is None and r.n_best_sha256 is None
+            continue
+        every = [r.ids, *r.others]
+        assert len(every) == len(r.scores) and len({tuple(ids) for ids in every}) == len(every)
+        assert r.n_best_sha256 == [digest(ids) for ids in every] and r.n_best_sha256[0] == r.ids_sha256
+        assert all(segment.decode(ids, vocabulary) == text for ids in every) and r.round_trip
+        # Each list of ids has the score that stands at its place.
+        assert all(abs(sum(vocabulary.scores[k] for k in ids) - s) < 1e-6 for ids, s in zip(every, r.scores))
+    assert len(rows[0].others) == 2
+
+
 def test_documents(odd_docs, no_docs):
     rows = segment.encode_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count()
