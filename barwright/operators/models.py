@@ -23,10 +23,14 @@ SEED = 42
 
 
 def random_forest(
-    trees: int = 300, depth: int = 8, weighted: bool = True, min_leaf: int = 1, row_share: float = 1.0, memory_mb: int = 256
+    trees: int = 300, depth: int = 8, weighted: bool = True, min_leaf: int = 1, row_share: float = 1.0, memory_mb: int = 256, node_ids: bool = True
 ) -> RandomForestClassifier:
-    """``min_leaf`` rows at least in a leaf, ``row_share`` of the rows for each tree; nodes of up to ``memory_mb`` are split in one pass."""
-    rf = RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, subsamplingRate=row_share, maxMemoryInMB=memory_mb, seed=SEED)
+    """``min_leaf`` rows at least in a leaf, ``row_share`` of the rows for each tree; nodes of up to ``memory_mb`` are split in one pass.
+
+    With ``node_ids`` the node that each row is in is kept for every tree (4 bytes a row and tree; in memory, else on
+    local disk), so that a pass does not walk all trees from their roots. The fitted trees are the same.
+    """
+    rf = RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, subsamplingRate=row_share, maxMemoryInMB=memory_mb, cacheNodeIds=node_ids, seed=SEED)
     return rf.setWeightCol("weight") if weighted else rf
 
 

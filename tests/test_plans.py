@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from barwright.operators import models, scoring, trees
@@ -244,3 +245,13 @@ def test_tiny_sample_fractions(spark):
 
     n = sample_rows(spark.range(500_000), "id", 0.00004).count()
     assert 5 <= n <= 45
+
+
+def test_forest_keeps_rows_nodes(spark):
+    """No pass walks the trees from their roots, and the fitted trees are those of walking."""
+    rows = [(float(i % 37), float((i * i) % 101), i % 3 % 2) for i in range(400)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, target int"))
+    kept, walked = models.random_forest(8, 6, weighted=False), models.random_forest(8, 6, weighted=False, node_ids=False)
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    trees_of = lambda rf: [t.toDebugString.split("\n", 1)[1] for t in rf.fit(df).trees]
+    assert trees_of(kept) == trees_of(walked)
