@@ -145,15 +145,96 @@ def n_best(unit: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, tuple
 _NONE = 1e300
 
 
+def _ends(vocabulary: Vocabulary) -> dict:
+    """The pieces by characters, last one first, as in ``_trie``. Built once per vocabulary."""
+    root = vocabulary.__dict__.get("_ends")
+    if root is None:
+        root = vocabulary.__dict__["_ends"] = {}
+        for piece, entry in vocabulary.entries.items():
+            if entry:
+                node = root
+                for char in piece[:0:-1]:
+                    node = node.setdefault(char, ({}, []))[0]
+                node.setdefault(piece[0], ({}, []))[1][:] = [entry[1], (entry[0],)]
+    return root
+
+
+class Forward:
+    """The best segmentation of a unit and the loss of its second best, as ``n_best`` gives them for two.
+
+    Each place keeps its two best arcs, which depend on the characters before it only: a unit that begins as the one
+    before it goes on from there. The second best leaves the best once, by the second arc into one of its places.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.unit = vocabulary, ""
+        self.best: list[float] = [0.0]
+        self.second = [-1e300]
+        self.arcs: list = [None]  # (start, (log probability, ids)) of the best arc into each place
+        self.others: list = [None]
+
+    def solve(self, unit: str) -> tuple[tuple[int, ...], float, float]:
+        """(ids, score, what the second best loses)."""
+        best, second, arcs, others = self.best, self.second, self.arcs, self.others
+        same = 0
+        for a, b in zip(unit, self.unit):
+            if a != b:
+                break
+            same += 1
+        self.unit = unit
+        for held in (best, second, arcs, others):
+            del held[same + 1 :]
+        root = _ends(self.vocabulary)
+        text = unit.replace(MARK, "\0").replace(" ", MARK)  # a literal mark is in no piece
+        for start in range(same, len(unit)):
+            node, piece = root.get(text[start]) or ({}, None)
+            if not piece:  # no piece is this one character
+                piece = self.vocabulary.spell(unit[start])[::-1]
+            top, arc, low, other = best[start] + piece[0], (start, piece), -1e300, None
+            while start:
+                start -= 1
+                found = node.get(text[start])
+                if found is None:
+                    break
+                node, piece = found
+                if piece:
+                    score = best[start] + piece[0]
+                    if score >= top:
+                        low, other, top, arc = top, arc, score, (start, piece)
+                    elif score >= low:
+                        low, other = score, (start, piece)
+            best.append(top)
+            second.append(low)
+            arcs.append(arc)
+            others.append(other)
+        at, behind, ids = len(unit), 0.0, ()
+        least, turn = -_NONE, None  # the best score of all that leave the best segmentation, and (arc, score behind) there
+        while at:
+            if others[at] and second[at] + behind > least:
+                least, turn = second[at] + behind, (others[at], behind)
+            at, (cost, own) = arcs[at]
+            behind += cost
+            ids = own + ids
+        if turn is None:
+            return ids, behind, _NONE
+        (at, (cost, _)), score = turn
+        score += cost
+        while at:
+            at, (cost, _) = arcs[at]
+            score += cost
+        return ids, behind, max(behind - score, 0.0)
+
+
 class Encoder:
     """Encodes whole texts; remembers the units it has solved, the older half goes when there are too many.
 
     Every unit is solved for its two best segmentations, which give its least loss; the rest only where that is one
-    of the least of a text.
+    of the least of a text. New units of several texts are solved in order, as neighbours begin alike.
     """
 
     def __init__(self, vocabulary: Vocabulary, n: int = 3, remembered: int = 600_000) -> None:
         self.vocabulary, self.n, self.remembered = vocabulary, n, remembered
+        self.forward = Forward(vocabulary)
         self.solved: dict[str, tuple] = {}
         self.others: dict[str, list] = {}
 
@@ -166,8 +247,8 @@ class Encoder:
 
     def _solve(self, unit: str) -> tuple[bytes, float, float]:
         """(ids as 32-bit integers, score, what the second best loses)."""
-        (score, ids), *second = n_best(unit, self.vocabulary, min(self.n, 2))
-        return self._kept(self.solved, unit, (array("i", ids).tobytes(), score, max(score - second[0][0], 0.0) if second else _NONE))
+        ids, score, loss = self.forward.solve(unit)
+        return self._kept(self.solved, unit, (array("i", ids).tobytes(), score, loss))
 
     def _others(self, unit: str) -> list[tuple[float, bytes, bool]]:
         """(loss, ids as 32-bit integers, whether they spell what the best spells) of the second to the n-th best."""
@@ -179,13 +260,20 @@ class Encoder:
             self._kept(self.others, unit, found)
         return found
 
-    def segmentations(self, text: str) -> list[tuple[float, bytes, bool]]:
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """The units of each text; those that are new are solved."""
+        parts = [units_of(" " + text, self.vocabulary) if text else [] for text in texts]
+        for unit in sorted(set().union(*parts).difference(self.solved)):
+            self._solve(unit)
+        return parts
+
+    def segmentations(self, text: str, units: list[str] | None = None) -> list[tuple[float, bytes, bool]]:
         """The n best (score, ids as 32-bit integers, whether they spell what the best spells) of the whole text, best
-        first; fewer if there are fewer."""
+        first; fewer if there are fewer. ``units`` are those of ``learn``, if at hand."""
         if not text:
             return [(0.0, b"", True)]
         get, solve = self.solved.get, self._solve
-        units = units_of(" " + text, self.vocabulary)
+        units = units or units_of(" " + text, self.vocabulary)
         best, scores, firsts = zip(*[get(u) or solve(u) for u in units])
         total = sum(scores)
         found: list[tuple] = [(0.0, ())]  # the loss, and the (place, ids, spells the same) of units that are not cut best
@@ -225,6 +313,20 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def _runs(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
+    """The texts in turn, in runs of about ``most`` characters; a longer text is the last of its run."""
+    run: list[str | None] = []
+    size = 0
+    for text in texts:
+        run.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _offsets(lengths: list[int]) -> pa.Array:
     return pa.array([0, *itertools.accumulate(lengths)], pa.int32())
 
@@ -263,13 +365,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 rows, bests, others = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text, units in ((t, u) for run in _runs(batch.column(1).to_pylist()) for t, u in zip(run, encoder.learn(run))):
                     if text is None:
                         rows.append((None,) * 6)
                         bests.append(None)
                         others.append(None)
                         continue
-                    found = encoder.segmentations(text)
+                    found = encoder.segmentations(text, units)
                     packs = [p for _, p, _ in found]
                     bests.append(packs[0])
                     others.append(packs[1:])

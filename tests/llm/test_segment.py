@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 from array import array
 from functools import cache
 
@@ -179,3 +180,19 @@ def test_model_is_a_distribution(vocabulary, spark):
     model, end = lm_score.fit_pieces(words, 3, vocabulary)
     assert abs(sum(math.exp(s) for s in model.scores) + math.exp(end) - 1) < 1e-9
     assert lm_score.marginal("the", model) > lm_score.marginal("the", vocabulary)
+
+
+def test_forward_pass_gives_the_two_best(tiny, vocabulary, monkeypatch):
+    """The forward pass gives what the search gives for two, to the bit, in any order; units are solved without the search."""
+    pick = random.Random(4)
+    units = ["".join(pick.choices(" abc", k=pick.randint(1, 9))) for _ in range(300)]
+    for words, own in ((units, tiny), ([" " + w for w in prose(5, 400)] + ["    ", ";\r\n\r\n", "日本語", " aaaaaaaa", "é̂", "▁x"], vocabulary)):
+        forward = segment.Forward(own)
+        for unit in words + sorted(words):
+            (score, ids), *second = segment.n_best(unit, own, 2)
+            assert forward.solve(unit) == (ids, score, max(score - second[0][0], 0.0) if second else segment._NONE)
+    monkeypatch.setattr(segment, "n_best", None)
+    encoder = segment.Encoder(vocabulary, 3)
+    assert encoder.learn(["some words", None, "", "more words"]) == [[" some", " words"], [], [], [" more", " words"]]
+    assert list(encoder.solved) == [" more", " some", " words"]
+    assert [list(r) for r in segment._runs(["ab", None, "c", "", "defg", "h"], 3)] == [["ab", None, "c"], ["", "defg"], ["h"]]
