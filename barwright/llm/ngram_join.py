@@ -7,13 +7,15 @@ places of the shared shingle, and only what is left is expanded to members and v
 
 The order comes from counts of all shingles of all documents in a table of ``slots`` bytes (by the size of the
 input, up to a bound): any order that all sets share gives the same links, a fine one gives fewer candidates. These
-counts and a filter of fixed size are all that is broadcast.
+counts and a filter of fixed size are all that is broadcast. A shingle that is alone in its slot is in one text only;
+it stays in its prefix's place, but meets nobody and is not sent.
 
 Links unite; what counts is which sets hang together. So a bucket (all groups with one shingle in their prefix) of
 more than ``hubs`` members is not paired out: first every member meets one hub, then, where the bucket still holds
 sets of different components, ever more hubs (``hubs`` times as many each round) until all are hubs. Each round
 skips pairs that are united by then. Every pair at the similarity is thus linked, directly or by others that are
-verified. Buckets of more than 4,096 members are dealt over several tasks.
+verified. Buckets of more than 4,096 members are dealt over several tasks. Pairs are first compared by sketches of
+their sets; whole sets travel only for those whose sketches allow the similarity.
 
 Nulls and texts without words have the empty set and are linked with nothing; equal sets are one set. A null id
 takes part and never becomes the least id. Rows repeated with one id are told apart by their texts. Sets are held
@@ -34,9 +36,11 @@ from barwright.llm.components import connected_components
 from barwright.session import materialize
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-BLOCK = 4096
+BLOCK = 1 << 16
 DEALT = 4096
 FILTER_BITS = 1 << 23
+SKETCH = 4096  # classes of a sketch, a bit each
+ALONE = 6  # the count, on the scale of shingle_counts, of a slot with one shingle in one set
 #: Most slots of the table of counts, a byte each: what is broadcast, whatever the input.
 MOST_SLOTS = 1 << 25
 PIECE = 1 << 19  # bytes of text that are hashed at once; a longer text is a piece of its own
@@ -136,7 +140,8 @@ def slots_for(docs: DataFrame, text_col: str) -> int:
 def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) -> np.ndarray:
     """How often the shingles of each slot occur in sets, on a scale of logarithms: one byte a slot.
 
-    Tasks count in bytes (255 at most); their tables are added block by block, in two steps.
+    Tasks count in bytes (255 at most) and send their blocks compressed, as most slots of a task are empty; a block is
+    added up from one task's at a time.
     """
     shift, block = np.uint64(64 - (slots - 1).bit_length()), min(BLOCK, slots)
 
@@ -149,37 +154,35 @@ def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) ->
                 total[at] = np.minimum(total[at] + n, 255)
         low = total.reshape(-1, block)
         used = np.flatnonzero(low.any(axis=1))
-        task = xxhash.xxh32_intdigest(total.tobytes()) % 8
-        for part in np.array_split(used, max(1, len(used) // 256)):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([task] * len(part), pa.int32()), pa.array([low[i].tobytes() for i in part], pa.binary())], ["block", "task", "counts"])
-
-    def add(kind, last):
-        def run(pdf):
-            total = sum(np.frombuffer(c, kind).astype(np.int64) for c in pdf["counts"])
-            out = pdf.iloc[:1].copy()
-            held = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8) if last else np.minimum(total, 65535).astype(np.uint16)
-            out["counts"] = [held.tobytes()]
-            return out
-
-        return run
+        pack = pa.Codec("zstd").compress
+        for part in np.array_split(used, max(1, len(used) // 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(low[i].tobytes(), asbytes=True) for i in part], pa.binary())], ["block", "counts"])
+
+    def add(pdf):
+        total = np.zeros(block, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(pa.Codec("zstd").decompress(c, block, asbytes=True), np.uint8)
+        out = pdf.iloc[:1].copy()
+        out["counts"] = [np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8).tobytes()]
+        return out
 
     plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
-    schema = "block int, task int, counts binary"
-    parts = plain.mapInArrow(count, schema).groupBy("block", "task").applyInPandas(add(np.uint8, False), schema)
+    schema = "block int, counts binary"
     out = np.zeros((slots // block, block), np.uint8)
-    for r in parts.groupBy("block").applyInPandas(add(np.uint16, True), schema).toLocalIterator():  # a byte a slot
+    for r in plain.mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).toLocalIterator():  # a byte a slot
         out[r.block] = np.frombuffer(r.counts, np.uint8)
     return out.ravel()
 
 
-def _signature(hashes: np.ndarray) -> list[int]:
-    """Parities of the members in 256 classes: two sets differ in at least as many members as bits."""
-    odd = (np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+def _signature(hashes: np.ndarray, classes: int = 256) -> list[int]:
+    """Parities of the members in a number of classes: two sets differ in at least as many members as bits."""
+    odd = (np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)
     return np.frombuffer(np.packbits(odd).tobytes(), ">i8").tolist()
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, slots: int | None) -> DataFrame:
-    """(id, n, content, sig, g, prefix): ``g`` is one for sets of one size and prefix; a task gives each prefix once.
+    """(id, n, content, sig, g, alone, prefix): ``g`` is one for sets of one size and prefix; a task gives each prefix
+    once, without its first ``alone`` shingles, which are in no other set.
 
     Should two groups ever have one number, they are taken as one: that adds candidates and loses none.
     """
@@ -190,26 +193,28 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     def describe(batches):
         given: set[int] = set()
         for ids, sets in _batches(batches, shingle):
-            contents, sigs, numbers, prefixes = [], [], [], []
+            contents, sigs, numbers, alone, prefixes = [], [], [], [], []
             for s in sets:
                 n = len(s)
                 rank = ranks.value[(s >> shift).astype(np.int64)]
-                first = s[np.argsort(rank, kind="stable")[: n - (percent * n + 99) // 100 + 1 if n else 0]].astype(np.int64)
+                order = np.argsort(rank, kind="stable")[: n - (percent * n + 99) // 100 + 1 if n else 0]
+                first = s[order].astype(np.int64)
                 contents.append(_digest(s.tobytes()))
                 sigs.append(_signature(s))
                 number = int.from_bytes(_digest(n.to_bytes(8, "big") + first.tobytes())[:8], "big", signed=True)
                 numbers.append(number)
-                prefixes.append(first[:0] if number in given else first)
+                alone.append(int(np.searchsorted(rank[order], ALONE, side="right")) if len(order) and rank[order[0]] == ALONE else 0)
+                prefixes.append(first[:0] if number in given else first[alone[-1] :])
                 given.add(number)
             if len(given) > 1_000_000:
                 given.clear()
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *prefixes])
-            arrays = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "content", "sig", "g", "prefix"])
+            arrays = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(numbers, pa.int64()), pa.array(alone, pa.int32()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "content", "sig", "g", "alone", "prefix"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(describe, "id long, n long, content binary, sig array<long>, g long, prefix array<long>")
+    return plain.mapInArrow(describe, "id long, n long, content binary, sig array<long>, g long, alone int, prefix array<long>")
 
 
 def _asked_bits(contents: DataFrame) -> np.ndarray:
@@ -223,7 +228,8 @@ def _asked_bits(contents: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, members): whole sets of ``nodes`` (node, content). Texts stay where they are; sets asked for travel."""
+    """(node, sketch, n, members): whole sets of ``nodes`` (node, content). Texts stay where they are; sets asked for travel
+    once, as their copies are taken out where they meet their nodes."""
     bits = docs.sparkSession.sparkContext.broadcast(_asked_bits(nodes))
 
     def asked(digest: bytes) -> bool:
@@ -243,11 +249,12 @@ def _sets(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> Dat
                 given.clear()
             offsets = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *found.values()]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["content", "members"])
+            sketches = pa.array([_signature(s, SKETCH) for s in found.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), sketches, pa.ListArray.from_arrays(offsets, values)], ["content", "sketch", "members"])
 
     plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
-    found = plain.mapInArrow(members, "content binary, members array<long>").join(nodes.select("node", "content"), "content")
-    return materialize(found.dropDuplicates(["node"]).select("node", "members"), "sets")
+    found = plain.mapInArrow(members, "content binary, sketch array<long>, members array<long>").join(nodes.select("node", "content"), "content")
+    return materialize(found.dropDuplicates(["content", "node"]).select("node", "sketch", F.size("members").alias("n"), "members"), "sets")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slots: int | None = None, hubs: int = 8) -> DataFrame:
@@ -268,7 +275,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _linked(docs: DataFrame, text_col: str, shown: DataFrame, nodes: DataFrame, shingle: int, percent: int, hubs: int) -> DataFrame:
     """(node, label) of all nodes that meet another; label is that of their component."""
     weight = nodes.groupBy("g", "n").agg(F.count("*").alias("k"))
-    firsts = shown.select("g", F.posexplode("prefix").alias("at", "token"))
+    firsts = shown.select("g", "alone", F.posexplode("prefix").alias("at", "token")).select("g", (F.col("at") + F.col("alone")).alias("at"), "token")
     shared = firsts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     met = materialize(firsts.join(shared, "token").distinct(), "met")  # one group may come from several tasks
     again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -345,7 +352,17 @@ def _verifiable(pairs: DataFrame, labelled: DataFrame, percent: int, limit: int,
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar, by their whole intersection."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "b", "members": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "members": "x"}), "a")
+    """Those of ``pairs`` (a, b) whose sets are similar, by their whole intersection.
+
+    Sketches sort out most pairs that are not; the sets of the others are picked out before they are moved.
+    """
+    short = sets.select("node", "sketch", "n")
+    both = pairs.join(short.toDF("b", "q", "m"), "b").join(short.toDF("a", "p", "n"), "a")
+    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = materialize(both.where((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b"), "near")
+    for side, members in (("b", "y"), ("a", "x")):
+        wanted = materialize(near.select(F.col(side).alias("node")).distinct(), "wanted")
+        held = sets.select("node", "members").join(wanted, "node", "left_semi")
+        near = near.join(held.toDF(side, members), side)
     common = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    return materialize(near.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")

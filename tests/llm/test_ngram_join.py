@@ -166,3 +166,35 @@ def test_sets_by_arrays(odd_docs, monkeypatch):
                 assert len(np.intersect1d(found[i], found[j])) == len(plain[i] & plain[j])
     part = pa.array(texts, pa.string()).slice(3, 4)
     assert [f.tolist() for f in ngram_join.shingle_sets(part)] == [ngram_join.shingle_set(t).tolist() for t in texts[3:7]]
+
+
+def test_counts_match_brute_force(make_docs, mixed):
+    """Tables of several tasks, added up block by block, against all sets at once."""
+    slots = 1 << 18
+    at = np.concatenate([ngram_join.shingle_set(t) for _, t in mixed]) >> np.uint64(64 - 18)
+    want = np.minimum(np.log2(np.bincount(at.astype(np.int64), minlength=slots) + 1.0) * 6, 255).astype(np.uint8)
+    docs = make_docs(mixed).repartition(7)
+    assert (ngram_join.shingle_counts(docs, "text", 5, slots) == want).all()
+    assert ngram_join.shingle_counts(make_docs([]), "text", 5, slots).max() == 0
+
+
+def test_lone_shingles_do_not_travel(make_docs):
+    """What is in one text only is left out of the prefixes that are joined, and the others keep their places."""
+    shared = prose(1, 40)
+    rows = [(i, " ".join(prose(100 + i, 200))) for i in range(4)] + [(10 + i, " ".join(shared + prose(200 + i, 3))) for i in range(2)]
+    found = ngram_join._described(make_docs(rows), "doc_id", "text", 5, 80, 1 << 22)
+    for r in found.collect():
+        assert r.alone + len(r.prefix) == r.n - -(-80 * r.n // 100) + 1
+        assert r.alone == (r.n - -(-80 * r.n // 100) + 1 if r.id < 10 else 3)
+    assert result(make_docs(rows)) == plain_components(rows)
+
+
+def test_sets_move_for_few_pairs_only(make_docs, monkeypatch):
+    """Pairs that share a passage without being alike are told apart before whole sets are moved."""
+    shown = []
+    kept = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name="table": (shown.append((name, out := kept(df, name))), out)[1])
+    passage = prose(3, 150)
+    rows = [(i, " ".join(passage + prose(300 + i, 500))) for i in range(8)] + [(20 + i, " ".join(prose(9, 700 + i))) for i in range(2)]
+    assert result(make_docs(rows), slots=2) == plain_components(rows)
+    assert [r.node for name, df in shown if name == "wanted" for r in df.collect()].__len__() == 2
