@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from array import array
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,8 @@ def n_best(unit: str, vocabulary: Vocabulary, n: int) -> list[tuple[float, tuple
 
 #: The loss of a unit that has one segmentation only.
 _NONE = 1e300
+#: Units after which an encoder begins to forget older ones, about 300 bytes each; a run of texts has some 80,000.
+REMEMBERED = 125_000
 
 
 def _ends(vocabulary: Vocabulary) -> dict:
@@ -226,29 +229,31 @@ class Forward:
 
 
 class Encoder:
-    """Encodes whole texts; remembers the units it has solved, the older half goes when there are too many.
+    """Encodes whole texts; remembers the units of the last runs of texts, twice ``remembered`` and one run's at most.
 
     Every unit is solved for its two best segmentations, which give its least loss; the rest only where that is one
     of the least of a text. New units of several texts are solved in order, as neighbours begin alike.
     """
 
-    def __init__(self, vocabulary: Vocabulary, n: int = 3, remembered: int = 600_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, n: int = 3, remembered: int = REMEMBERED) -> None:
         self.vocabulary, self.n, self.remembered = vocabulary, n, remembered
         self.forward = Forward(vocabulary)
         self.solved: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}  # goes when ``solved`` is full and takes its place
         self.others: dict[str, list] = {}
 
-    def _kept(self, solved: dict, unit: str, found):
-        if len(solved) >= self.remembered:
-            for key in list(solved)[: self.remembered // 2]:
-                del solved[key]
-        solved[unit] = found
-        return found
-
     def _solve(self, unit: str) -> tuple[bytes, float, float]:
         """(ids as 32-bit integers, score, what the second best loses)."""
-        ids, score, loss = self.forward.solve(unit)
-        return self._kept(self.solved, unit, (array("i", ids).tobytes(), score, loss))
+        found = self.older.get(unit)
+        if found is None:
+            ids, score, loss = self.forward.solve(unit)
+            found = (array("i", ids).tobytes(), score, loss)
+        self.solved[unit] = found
+        return found
+
+    def forget(self) -> None:
+        """Lets all units go, as a worker process outlives its tasks and then takes memory from others."""
+        self.solved, self.older, self.others = {}, {}, {}
 
     def _others(self, unit: str) -> list[tuple[float, bytes, bool]]:
         """(loss, ids as 32-bit integers, whether they spell what the best spells) of the second to the n-th best."""
@@ -257,11 +262,15 @@ class Encoder:
             (score, best), *rest = n_best(unit, self.vocabulary, self.n)
             text = decode(best, self.vocabulary)
             found = [(max(score - s, 0.0), array("i", ids).tobytes(), decode(ids, self.vocabulary) == text) for s, ids in rest]
-            self._kept(self.others, unit, found)
+            self.others[unit] = found
         return found
 
     def learn(self, texts: list[str | None]) -> list[list[str]]:
         """The units of each text; those that are new are solved."""
+        if len(self.solved) >= self.remembered:  # not amid the units of a text
+            self.older, self.solved = self.solved, {}
+        if len(self.others) >= self.remembered:
+            self.others = {}
         parts = [units_of(" " + text, self.vocabulary) if text else [] for text in texts]
         for unit in sorted(set().union(*parts).difference(self.solved)):
             self._solve(unit)
@@ -272,8 +281,8 @@ class Encoder:
         first; fewer if there are fewer. ``units`` are those of ``learn``, if at hand."""
         if not text:
             return [(0.0, b"", True)]
+        units = units or self.learn([text])[0]
         get, solve = self.solved.get, self._solve
-        units = units or units_of(" " + text, self.vocabulary)
         best, scores, firsts = zip(*[get(u) or solve(u) for u in units])
         total = sum(scores)
         found: list[tuple] = [(0.0, ())]  # the loss, and the (place, ids, spells the same) of units that are not cut best
@@ -300,11 +309,12 @@ class Encoder:
         return found[0][1], found[0][0], [s for s, *_ in found]
 
 
-def _encoder(vocabulary: Vocabulary, n: int, kept: list = []) -> Encoder:  # noqa: B006
-    """The worker process's encoder: solved units serve all tasks that the process runs."""
-    if not kept or kept[0].vocabulary is not vocabulary or kept[0].n != n:
-        kept[:] = [Encoder(vocabulary, n)]
-    return kept[0]
+def _encoder(shared: Broadcast, n: int, kept: list = []) -> Encoder:  # noqa: B006
+    """The worker process's encoder: its trees of pieces serve all tasks that the process runs."""
+    if not kept or kept[0] is not shared or kept[1].n != n:
+        kept.clear()  # before the other vocabulary is read
+        kept[:] = [shared, Encoder(shared.value, n)]
+    return kept[1]
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -357,8 +367,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        encoder = _encoder(vocabulary, n)
+        encoder = _encoder(shared, n)
+        vocabulary = encoder.vocabulary
         types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.list_(pa.string()), pa.bool_()]
         names = ["id", "ids", "others", "n_pieces", "score", "scores", "ids_sha256", "n_best_sha256", "round_trip"]
         for whole in batches:
@@ -384,5 +394,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 else:
                     lists = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *columns], names=names)
+        encoder.forget()
 
     return source.mapInArrow(run, f"id {kind}, {ENCODED}")

@@ -7,6 +7,7 @@ import random
 from array import array
 from functools import cache
 
+import pyarrow as pa
 import pytest
 
 from barwright.llm import lm_score, pieces, segment
@@ -196,3 +197,28 @@ def test_forward_pass_gives_the_two_best(tiny, vocabulary, monkeypatch):
     assert encoder.learn(["some words", None, "", "more words"]) == [[" some", " words"], [], [], [" more", " words"]]
     assert list(encoder.solved) == [" more", " some", " words"]
     assert [list(r) for r in segment._runs(["ab", None, "c", "", "defg", "h"], 3)] == [["ab", None, "c"], ["", "defg"], ["h"]]
+
+
+def test_workers_keep_no_units(spark, vocabulary, make_docs):
+    """A worker process outlives its tasks: what it holds then counts against the stages that follow."""
+    docs = make_docs([(i, " ".join(prose(i, 300))) for i in range(20)])
+    encoded = segment.encode_documents(docs).collect()
+    assert len(encoded) == 20
+
+    def held(batches):
+        for _ in batches:
+            kept = [x for x in segment._encoder.__defaults__[0] if isinstance(x, segment.Encoder)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.solved) + len(e.others) for e in kept)], pa.int64())], ["n"])
+
+    assert sum(r.n for r in spark.range(8, numPartitions=8).mapInArrow(held, "n long").collect()) == 0
+
+
+def test_units_are_forgotten_between_runs(vocabulary):
+    """Small bounds change no result, and no more is held than twice the bound and a run."""
+    texts = [" ".join(prose(seed, 400)) for seed in range(12)]
+    wide, narrow = segment.Encoder(vocabulary), segment.Encoder(vocabulary, remembered=50)
+    for text in texts:
+        units = narrow.learn([text])[0]
+        assert narrow.segmentations(text, units) == wide.segmentations(text)
+        assert len(narrow.solved) + len(narrow.older) <= 2 * (50 + len(set(units)))
+    assert len(wide.solved) > 2 * (50 + 300)
