@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.components import connected_components
@@ -140,8 +140,8 @@ def slots_for(docs: DataFrame, text_col: str) -> int:
 def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) -> np.ndarray:
     """How often the shingles of each slot occur in sets, on a scale of logarithms: one byte a slot.
 
-    Tasks count in bytes (255 at most) and send their blocks compressed, as most slots of a task are empty; a block is
-    added up from one task's at a time.
+    Tasks count in bytes (255 at most). Most slots of a task are empty, so it sends a block as one bit a slot and the
+    counts of the used ones, both compressed; a block is added up from one task's at a time.
     """
     shift, block = np.uint64(64 - (slots - 1).bit_length()), min(BLOCK, slots)
 
@@ -154,22 +154,24 @@ def shingle_counts(docs: DataFrame, text_col: str, shingle: int, slots: int) ->
                 total[at] = np.minimum(total[at] + n, 255)
         low = total.reshape(-1, block)
         used = np.flatnonzero(low.any(axis=1))
-        pack = pa.Codec("zstd").compress
+        pack = lambda x: pa.Codec("zstd").compress(x.tobytes(), asbytes=True)
         for part in np.array_split(used, max(1, len(used) // 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack(low[i].tobytes(), asbytes=True) for i in part], pa.binary())], ["block", "counts"])
+            bits, counts = [pack(np.packbits(low[i] > 0)) for i in part], [low[i][low[i] > 0] for i in part]
+            arrays = [pa.array(part, pa.int32()), pa.array(bits, pa.binary()), pa.array(list(map(pack, counts)), pa.binary()), pa.array(list(map(len, counts)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "bits", "counts", "used"])
 
     def add(pdf):
         total = np.zeros(block, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(pa.Codec("zstd").decompress(c, block, asbytes=True), np.uint8)
-        out = pdf.iloc[:1].copy()
+        unpack = lambda x, n: np.frombuffer(pa.Codec("zstd").decompress(x, n, asbytes=True), np.uint8)
+        for bits, counts, used in zip(pdf["bits"], pdf["counts"], pdf["used"]):
+            total[np.unpackbits(unpack(bits, -(-block // 8)), count=block).view(bool)] += unpack(counts, used)
+        out = pdf[["block", "counts"]].iloc[:1].copy()
         out["counts"] = [np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8).tobytes()]
         return out
 
     plain = docs.select(F.lit(0).alias("none"), F.col(text_col).alias("text"))
-    schema = "block int, counts binary"
     out = np.zeros((slots // block, block), np.uint8)
-    for r in plain.mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).toLocalIterator():  # a byte a slot
+    for r in plain.mapInArrow(count, "block int, bits binary, counts binary, used int").groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():  # a byte a slot
         out[r.block] = np.frombuffer(r.counts, np.uint8)
     return out.ravel()
 
@@ -274,28 +276,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _linked(docs: DataFrame, text_col: str, shown: DataFrame, nodes: DataFrame, shingle: int, percent: int, hubs: int) -> DataFrame:
     """(node, label) of all nodes that meet another; label is that of their component."""
-    weight = nodes.groupBy("g", "n").agg(F.count("*").alias("k"))
-    firsts = shown.select("g", "alone", F.posexplode("prefix").alias("at", "token")).select("g", (F.col("at") + F.col("alone")).alias("at"), "token")
-    shared = firsts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = materialize(firsts.join(shared, "token").distinct(), "met")  # one group may come from several tasks
-    again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = met.join(again, "token").join(weight, "g")
+    firsts = shown.select("g", "alone", F.posexplode("prefix").alias("at", "token")).select("token", "g", (F.col("at") + F.col("alone")).alias("at"))
+    # Most shingles are in one group only: they are sent once, to where all of one shingle meet, and end there. A group
+    # has a shingle once, but may come from several tasks.
+    here = Window.partitionBy("token")
+    met = firsts.withColumn("low", F.min("g").over(here)).withColumn("high", F.max("g").over(here)).where("low < high")
+    met = met.select("token", "g", "at").distinct()
     # Members of one group share a prefix, so they meet in a bucket of their own too.
-    own = weight.where("k > 1").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("at"), "k")
-    met = materialize(met.select("token", "g", "n", "at", "k").union(own), "met_groups")
+    own = nodes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("g").alias("token"), "g", F.lit(0).alias("at"))
+    met = materialize(met.union(own), "met")
     nodes = materialize(nodes.join(met.select("g").distinct(), "g", "left_semi"), "met_nodes")
     labels = nodes.select("node", F.col("node").alias("label"))
     sets, limit, turn = None, 1, 0
     while True:
         labelled = materialize(nodes.select("node", "g", "n", "sig").join(labels, "node"), "labelled")
-        spread = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        spread = labelled.groupBy("g", "n").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
         order = F.xxhash64(F.lit(turn), "g")
-        entries = met.join(spread, "g").withColumn("order", order)
-        buckets = entries.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("k").alias("c"), F.min("order").alias("hub"))
+        entries = met.join(spread, "g")
+        buckets = entries.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("k").alias("c"), F.min(order).alias("hub"))
         buckets = materialize(buckets.where("least < most").select("token", "c", "hub"), "buckets")
         if not buckets.take(1):
             return labels
-        entries = materialize(entries.join(buckets, "token"), "entries")
+        entries = materialize(entries.drop("k").join(buckets, "token").withColumn("order", order), "entries")
         pairs = materialize(_candidates(entries, percent, limit, hubs), "group_pairs")
         alike = materialize(_verifiable(pairs, labelled, percent, limit, hubs, turn), "pairs")
         asked = alike.select(F.col("a").alias("node")).union(alike.select("b"))
@@ -315,7 +317,7 @@ def _linked(docs: DataFrame, text_col: str, shown: DataFrame, nodes: DataFrame,
                 united = connected_components(edges).withColumnRenamed("component", "label")
                 labels = nodes.select("node").join(united, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
                 labels = materialize(labels, "labels")
-        met = materialize(entries.where(F.col("c") > max(limit, hubs)).select("token", "g", "n", "at", "k"), "open")
+        met = materialize(entries.where(F.col("c") > max(limit, hubs)).select("token", "g", "at"), "open")
         limit, turn = limit * hubs, turn + 1
 
 
@@ -356,7 +358,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Sketches sort out most pairs that are not; the sets of the others are picked out before they are moved.
     """
-    short = sets.select("node", "sketch", "n")
+    asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "compared")
+    short = sets.select("node", "sketch", "n").join(asked, "node", "left_semi")
     both = pairs.join(short.toDF("b", "q", "m"), "b").join(short.toDF("a", "p", "n"), "a")
     differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     near = materialize(both.where((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b"), "near")

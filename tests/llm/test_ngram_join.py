@@ -198,3 +198,14 @@ def test_sets_move_for_few_pairs_only(make_docs, monkeypatch):
     rows = [(i, " ".join(passage + prose(300 + i, 500))) for i in range(8)] + [(20 + i, " ".join(prose(9, 700 + i))) for i in range(2)]
     assert result(make_docs(rows), slots=2) == plain_components(rows)
     assert [r.node for name, df in shown if name == "wanted" for r in df.collect()].__len__() == 2
+
+
+def test_prefixes_travel_once(make_docs, monkeypatch):
+    """Shingles of prefixes are shuffled once to find where groups meet, and no row goes to one task alone."""
+    plans = {}
+    keep = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name="table": (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    rows = [(i, " ".join(prose(i % 9, 40 + i))) for i in range(30)]
+    assert result(make_docs(rows)) == plain_components(rows)
+    assert len(re.findall(r"Exchange hashpartitioning\(token", plans["met"])) == 1
+    assert "SinglePartition" not in plans["met"] and "met_groups" not in plans
